@@ -24,39 +24,32 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
     group = keys or ["__all"]
     base = df if keys else df.withColumn("__all", F.lit(0))
     base = base.select(*group, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    counts = base.groupBy(*group, "__v").agg(F.count("*").alias("__c"))
-    bracket = base.groupBy(*group).agg(
+    sketch = base.groupBy(*group).agg(
         F.count("*").alias("n"),
         F.percentile_approx("__v", F.array(F.lit(lo), F.lit(hi)), _ACCURACY).alias("__b"),
         F.min("__v").alias("__min"),
         F.max("__v").alias("__max"),
     )
-    bracket = bracket.select(
+    large = F.col("n") > _ACCURACY
+    bracket = sketch.select(
         *group, "n",
         (F.lit(q) * (F.col("n") - 1)).alias("__pos"),
-        F.when((F.col("n") > _ACCURACY) & F.lit(lo > 0), F.col("__b")[0]).otherwise(F.col("__min")).alias("__lo"),
-        F.when((F.col("n") > _ACCURACY) & F.lit(hi < 1), F.col("__b")[1]).otherwise(F.col("__max")).alias("__hi"),
+        F.when(large & F.lit(lo > 0), F.col("__b")[0]).otherwise(F.col("__min")).alias("__lo"),
+        F.when(large & F.lit(hi < 1), F.col("__b")[1]).otherwise(F.col("__max")).alias("__hi"),
     )
-    joined = counts.join(bracket, group)
-    below = joined.groupBy(*group).agg(
-        F.sum(F.when(F.col("__v") < F.col("__lo"), F.col("__c")).otherwise(0)).alias("__below")
-    )
-    # the value just above the bracket is kept too: it can be the upper neighbour
-    above = joined.filter(F.col("__v") > F.col("__hi")).groupBy(*group).agg(F.min("__v").alias("__next"))
-    inside = joined.filter((F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi")))
-    ranked = inside.join(below, group).withColumn(
-        "__upto", F.sum("__c").over(W.partitionBy(*group).orderBy("__v")) + F.col("__below")
+    # everything below the bracket is one counted row, everything above is one row that
+    # keeps its smallest value; both collapse before the shuffle
+    side = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0)
+    marked = base.join(bracket, group).withColumn("__side", side)
+    kept = F.when(F.col("__side") == 0, F.col("__v"))
+    counted = marked.groupBy(*group, "n", "__pos", "__side", kept.alias("__k")).agg(
+        F.count("*").alias("__c"), F.min("__v").alias("__v")
     )
+    ranked = counted.withColumn("__upto", F.sum("__c").over(W.partitionBy(*group).orderBy("__v")))
     lower = F.floor("__pos")
     picked = ranked.groupBy(*group, "n", "__pos").agg(
         F.min(F.when(F.col("__upto") > lower, F.col("__v"))).alias("__a"),
         F.min(F.when(F.col("__upto") > lower + 1, F.col("__v"))).alias("__z"),
     )
-    result = picked.join(above, group, "left").select(
-        *keys, "n",
-        (
-            F.col("__a")
-            + (F.col("__pos") - lower) * (F.coalesce("__z", "__next", "__a") - F.col("__a"))
-        ).alias(out),
-    )
-    return result
+    step = (F.col("__pos") - lower) * (F.coalesce("__z", "__a") - F.col("__a"))
+    return picked.select(*keys, "n", (F.col("__a") + step).alias(out))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history  # noqa: F401
+from . import history, modelling  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
