@@ -152,3 +152,11 @@ EVIDENCE_STATES = ["approved", "published"]
 DRIFT_WAPE_POINTS = 3.0
 DRIFT_QUALITY_POINTS = -5.0
 DRIFT_BIAS_PCT = 10.0
+
+# --- fixed values: action wording and owners ------------------------------------
+OWNER_MATERIAL = "Procurement"
+OWNER_CAPACITY = "Production planning"
+REVIEW_SEQUENCE = "Review sequence and planned downtime"
+RELATIONSHIP_EVIDENCE = ("master-data relationship", "not inferred")
+ANALOG_TYPE = "new_product_analog"
+PLAN_STATES = ["draft", "review", "approved", "published", "archived"]
