@@ -79,24 +79,26 @@ def feature_names(lags: list[int]) -> list[str]:
 
 
 def direct_frame(
-    panel: DataFrame, lags: list[int], horizon: int, drivers: list[str] = (), *, keep_unlabelled: bool = False
+    panel: DataFrame, lags: list[int], horizon: int, drivers: list[str] = (), *,
+    keep_unlabelled: bool = False, warmup: int | None = None,
 ) -> DataFrame:
     """One row per origin and step ahead: features at the origin, drivers and label at the step.
 
     ``panel`` may end with future rows whose target is null. They never become labels; with
-    ``keep_unlabelled`` they are returned as rows to predict.
+    ``keep_unlabelled`` they are returned too, and ``origin_y`` is the value at the origin,
+    which is null where the origin lies in the future.
     """
-    warmup = max([*lags, 3])
+    warmup = max([*lags, 3]) if warmup is None else warmup
     w = W.partitionBy("item_id").orderBy("ts").rowsBetween(0, horizon - 1)
     ahead = F.collect_list(F.struct("ts", F.col("idx").cast("double").alias("time_idx"), "target", *drivers)).over(w)
     framed = origin_features(panel, lags).withColumn("__ahead", ahead).filter(F.col("idx") >= warmup)
     names = feature_names(lags)
     stepped = framed.select(
-        "item_id", F.col("idx").alias("origin_idx"), F.col("ts").alias("origin_ts"), *names,
-        F.posexplode("__ahead").alias("__pos", "__row"),
+        "item_id", F.col("idx").alias("origin_idx"), F.col("ts").alias("origin_ts"),
+        F.col("target").alias("origin_y"), *names, F.posexplode("__ahead").alias("__pos", "__row"),
     )
     out = stepped.select(
-        "item_id", "origin_idx", "origin_ts", F.col("__row.ts").alias("ts"),
+        "item_id", "origin_idx", "origin_ts", *(["origin_y"] if keep_unlabelled else []), F.col("__row.ts").alias("ts"),
         (F.col("__pos") + 1).cast("double").alias("forecast_step"),
         F.col("__row.time_idx").alias("time_idx"),
         *names,
@@ -111,7 +113,13 @@ def tail_per_item(panel: DataFrame, n: int = 48) -> DataFrame:
     return panel.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= n).drop("__r")
 
 
-def shortest_series(panel: DataFrame) -> int:
-    """Length of the shortest item; one number, needed before lag columns can be named."""
-    row = panel.groupBy("item_id").count().agg(F.min("count").alias("n")).first()
-    return int(row["n"] or 0)
+def shortest_series(panel: DataFrame, cutoffs: list = ()) -> list[int]:
+    """Length of the shortest item, over everything and before each cutoff date.
+
+    These few numbers are needed before lag columns can be named; one job finds them all.
+    """
+    counts = [F.count("*").alias("n0")]
+    counts += [F.count_if(F.col("ts") < F.lit(c)).alias(f"n{i}") for i, c in enumerate(cutoffs, 1)]
+    per_item = panel.groupBy("item_id").agg(*counts)
+    row = per_item.agg(*[F.min(F.nullif(F.col(f"n{i}"), F.lit(0))).alias(f"n{i}") for i in range(len(counts))]).first()
+    return [int(n or 0) for n in row]

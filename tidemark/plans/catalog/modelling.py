@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.periods import season_length
 from ...operators import baselines as B
+from ...operators import cleaning as K
 from ...operators import ensemble as E
 from ...operators import features as X
 from ...operators import folds as D
@@ -64,8 +65,18 @@ query("lag_features", sql(f"SELECT item_id, ts, idx, {_LAG_SQL} FROM part_idx",
                           doubles=" ".join(f"lag_{k}" for k in _LAGS)))(_featured(lambda: X.lag_features(_LAGS)))
 query("rolling_features", sql(f"SELECT item_id, ts, idx, {_ROLL_SQL} FROM part_idx", "part_idx",
                               doubles=_ROLL_NAMES))(_featured(X.rolling_features))
-query("ewm_features", sql(f"SELECT item_id, ts, idx, {_EWM_SQL} FROM part_idx", "part_idx",
-                          doubles="ewm_3 ewm_6 ewm_12", digits=12), digits=12)(_featured(X.ewm_features))
+
+
+# whole-number history: values that end in an exact half then round alike in both engines
+view("whole_idx", "SELECT item_id, ts, target, row_number() OVER (PARTITION BY item_id ORDER BY ts) - 1 AS idx FROM part_zero_regular", "part_zero_regular")
+
+
+@query("ewm_features", sql(f"SELECT item_id, ts, idx, {_EWM_SQL} FROM whole_idx", "whole_idx", doubles="ewm_3 ewm_6 ewm_12"))
+def _(spark, d):
+    base = X.with_position(K.regularize(P.rolled(spark, d, "l_partkey"), "monthly", "zero").select("item_id", "ts", "target"))
+    return base.withColumns(X.ewm_features()).drop("target")
+
+
 query("level_features", sql(f"SELECT item_id, ts, idx, {_LEVEL_SQL} FROM part_idx", "part_idx",
                             doubles=_LEVEL_NAMES))(_featured(X.level_features))
 
