@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, modelling, planning  # noqa: F401
+from . import history, modelling, planning, ingest, fitted  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

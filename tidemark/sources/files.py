@@ -28,10 +28,10 @@ def sniff_separator(spark: SparkSession, path: str, lines: int = 200) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Text columns with provenance-free names; Latin-1 where the bytes are not UTF-8."""
+    """All columns as text; Latin-1 where the bytes are not UTF-8."""
     if sep is None:
         sep = "\t" if path.lower().endswith(".tsv") else sniff_separator(spark, path)
-    bad = spark.read.text(path).filter(F.col("value").contains("�")).limit(1)
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
     encoding = "ISO-8859-1" if bad.take(1) else "UTF-8"
     return spark.read.csv(path, sep=sep, header=True, encoding=encoding, quote='"', escape='"', multiLine=False)
 

@@ -108,20 +108,24 @@ def unpivot_matrix(df: DataFrame, status: DataFrame | None = None, sheet: str =
     if not set(MATRIX_KEYS) <= set(df.columns) or len(months) < 3:
         return df
     meta = {new: old for new, old in MATRIX_METADATA.items() if old in df.columns}
+    types = {f.name: f.dataType for f in df.schema}
+    kind = "string" if any(C.is_text(types[m]) for m in months) else "double"
     kept = df.filter(F.col("Article Number").isNotNull() & F.col("Customer Name").isNotNull())
     ids = kept.select(
         F.concat_ws(" · ", "Article Number", "Customer Name").alias("series_id"),
         *[F.col(old).alias(new) for new, old in meta.items()],
-        *[C.to_number(F.col(f"`{m}`")).alias(m) for m in months],
+        *[F.col(f"`{m}`").cast(kind).alias(m) for m in months],
     )
-    long = ids.unpivot(["series_id", *meta], months, "name", "demand").filter("demand IS NOT NULL")
+    # one value column is parsed, instead of one expression per month
+    long = ids.unpivot(["series_id", *meta], months, "name", "demand")
+    long = long.withColumn("demand", C.to_number(F.col("demand"))).filter("demand IS NOT NULL")
     if status is not None:
         long = long.join(status.select(F.col("name"), F.col("status")), "name", "left")
     else:
         long = long.withColumn("status", F.lit(""))
-    kind = F.when(F.coalesce(F.col("status"), F.lit("")).contains("forecast"), "forecast").otherwise("actual")
+    record = F.when(F.coalesce(F.col("status"), F.lit("")).contains("forecast"), "forecast").otherwise("actual")
     return long.select(
-        F.trunc(C.to_day(F.col("name")), "month").alias("date"), "demand", "series_id", kind.alias("record_type"),
+        F.trunc(C.to_day(F.col("name")), "month").alias("date"), "demand", "series_id", record.alias("record_type"),
         F.lit(sheet).alias("source_sheet"), *meta,
     )
 
