@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from .fixed import BLANK_WORDS, ZERO
@@ -15,15 +15,28 @@ def is_text(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StringType, T.VarcharType, T.CharType))
 
 
-def to_number(col: Column) -> Column:
-    """Text or number to double; what is not a number becomes null (NaN included)."""
+def to_number(col: Column, dtype: T.DataType | None = None) -> Column:
+    """Text or number to double; what is not a number becomes null (NaN included).
+
+    With a numeric ``dtype`` the value is only cast, and stays inside generated code.
+    """
+    if isinstance(dtype, T.NumericType):
+        value = col.cast("double")
+        return F.when(~F.isnan(value), value) if isinstance(dtype, (T.DoubleType, T.FloatType)) else value
     text = col.cast("string")
     value = F.when(F.lower(text).rlike(_NUMBER), text.try_cast("double"))
     return F.when(~F.isnan(value), value)
 
 
-def number_or(col: Column, default: float = 0.0) -> Column:
-    return F.coalesce(to_number(col), F.lit(float(default)))
+def number(df: DataFrame, name: str) -> Column:
+    return to_number(F.col(name), df.schema[name].dataType)
+
+
+def number_or(df: DataFrame, name: str, default: float = 0.0) -> Column:
+    """A number from a column that may be absent."""
+    if name not in df.columns:
+        return F.lit(float(default))
+    return F.coalesce(number(df, name), F.lit(float(default)))
 
 
 def to_day(col: Column, dtype: T.DataType | None = None) -> Column:

@@ -15,6 +15,9 @@ _ACCURACY = 10_000
 def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
     """One row per key set: ``keys..., n, <out>``; equals a linear-interpolated quantile.
 
+    Meant for a handful of large groups, such as all rows or the steps of a horizon: their
+    brackets travel as one value, so the rows are not moved to meet them.
+
     The sketch rank error is at most ``n / accuracy``, so beyond ``accuracy`` rows a bracket
     of +-2 / accuracy holds both neighbours of the wanted rank and about 0.04 % of the
     values; ties are collapsed to counts first. Smaller groups are ranked whole.
@@ -31,16 +34,17 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float, out: st
         F.max("__v").alias("__max"),
     )
     large = F.col("n") > _ACCURACY
-    bracket = sketch.select(
-        *group, "n",
-        (F.lit(q) * (F.col("n") - 1)).alias("__pos"),
-        F.when(large & F.lit(lo > 0), F.col("__b")[0]).otherwise(F.col("__min")).alias("__lo"),
-        F.when(large & F.lit(hi < 1), F.col("__b")[1]).otherwise(F.col("__max")).alias("__hi"),
+    bracket = F.struct(
+        "n", (F.lit(q) * (F.col("n") - 1)).alias("pos"),
+        F.when(large & F.lit(lo > 0), F.col("__b")[0]).otherwise(F.col("__min")).alias("lo"),
+        F.when(large & F.lit(hi < 1), F.col("__b")[1]).otherwise(F.col("__max")).alias("hi"),
     )
+    brackets = sketch.agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*group).alias("k"), bracket.alias("v"))))).scalar()
     # everything below the bracket is one counted row, everything above is one row that
     # keeps its smallest value; both collapse before the shuffle
-    side = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0)
-    marked = base.join(bracket, group).withColumn("__side", side)
+    mine = base.withColumn("__m", brackets[F.struct(*group)])
+    side = F.when(F.col("__v") < F.col("__m.lo"), -1).when(F.col("__v") > F.col("__m.hi"), 1).otherwise(0)
+    marked = mine.select(*group, "__v", F.col("__m.n").alias("n"), F.col("__m.pos").alias("__pos"), side.alias("__side"))
     kept = F.when(F.col("__side") == 0, F.col("__v"))
     counted = marked.groupBy(*group, "n", "__pos", "__side", kept.alias("__k")).agg(
         F.count("*").alias("__c"), F.min("__v").alias("__v")

@@ -50,13 +50,14 @@ def canonicalize(
     types = {f.name: f.dataType for f in df.schema}
     drivers = [c for c in dict.fromkeys(drivers) if c in types]
     item = F.coalesce(F.col(item_col).cast("string"), F.lit("Unassigned")) if item_col else F.lit("Total demand")
+    # only text drivers need the order of rows
     order = F.struct(*order_by) if order_by else F.monotonically_increasing_id()
     return df.select(
         item.alias("item_id"),
         C.to_day(F.col(date_col), types[date_col]).alias("ts"),
-        C.to_number(F.col(target_col)).alias("target"),
+        C.number(df, target_col).alias("target"),
         *[F.col(c) for c in drivers],
-        order.alias(ROW_ORDER),
+        *([order.alias(ROW_ORDER)] if drivers else []),
     )
 
 
@@ -84,7 +85,7 @@ def coerce_drivers(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[s
         numeric += [c for c in unsure if (shares[c] or 0.0) >= NUMERIC_SHARE]
     numeric = [c for c in columns if c in numeric]
     text = [c for c in columns if c not in numeric]
-    typed = {c: C.to_number(F.col(c)) for c in numeric}
+    typed = {c: C.number(df, c) for c in numeric}
     typed |= {c: F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) for c in text}
     return (df.withColumns(typed) if typed else df), numeric, text
 
@@ -319,7 +320,7 @@ def quality_gate(df: DataFrame, settings: dict) -> DataFrame:
     if date_col in df.columns:
         counts["unreadable_dates"] = F.count_if(_typed(df, date_col).isNull())
     if target_col in df.columns:
-        value = C.to_number(F.col(target_col))
+        value = C.number(df, target_col)
         counts["missing_quantities"] = F.count_if(value.isNull())
         counts["negative_quantities"] = F.count_if(value < 0)
         counts["infinite_quantities"] = F.count_if(value == F.lit(float("inf")))

@@ -37,17 +37,29 @@ def lag_features(lags: list[int]) -> dict[str, Column]:
     return {f"lag_{k}": F.lag("target", k).over(w) for k in lags}
 
 
-def rolling_features() -> dict[str, Column]:
+def _median(values: Column, k: int) -> Column:
+    """Median of the last ``k`` of an array; null if it is empty."""
+    tail = F.sort_array(F.slice(values, F.greatest(F.size(values) - k + 1, F.lit(1)), F.lit(k)))
+    n = F.size(tail)
+    return (F.get(tail, F.floor((n - 1) / 2).cast("int")) + F.get(tail, F.floor(n / 2).cast("int"))) / 2.0
+
+
+def add_rolling(df: DataFrame) -> DataFrame:
+    """Mean, median and nonzero rate of the last 2, 3, 6 and 12 values, spread of 3 and 6.
+
+    One frame collects the last twelve values for all medians.
+    """
     nonzero = (F.col("target") > F.lit(ZERO)).cast("double")
-    out = {}
+    means, medians, rates, spreads = {}, {}, {}, {}
     for k in ROLLING_WINDOWS:
-        out[f"rolling_mean_{k}"] = F.avg("target").over(_before(k))
-        out[f"rolling_median_{k}"] = F.percentile("target", F.lit(0.5)).over(_before(k))
-        out[f"nonzero_rate_{k}"] = F.coalesce(F.avg(nonzero).over(_before(k)), F.lit(0.0))
+        means[f"rolling_mean_{k}"] = F.avg("target").over(_before(k))
+        medians[f"rolling_median_{k}"] = _median(F.col("__recent"), k)
+        rates[f"nonzero_rate_{k}"] = F.coalesce(F.avg(nonzero).over(_before(k)), F.lit(0.0))
     for k in STD_WINDOWS:
         seen = F.count("target").over(_before(k))
-        out[f"rolling_std_{k}"] = F.when(seen >= 2, F.stddev_pop("target").over(_before(k))).otherwise(0.0)
-    return out
+        spreads[f"rolling_std_{k}"] = F.when(seen >= 2, F.stddev_pop("target").over(_before(k))).otherwise(0.0)
+    recent = F.collect_list("target").over(_before(max(ROLLING_WINDOWS)))
+    return df.withColumns({"__recent": recent, **means, **rates, **spreads}).withColumns(medians).drop("__recent")
 
 
 def ewm_features() -> dict[str, Column]:
@@ -71,11 +83,13 @@ def level_features() -> dict[str, Column]:
 def origin_features(panel: DataFrame, lags: list[int]) -> DataFrame:
     """All features at every origin; ``idx`` counts the observations before it."""
     base = panel if "idx" in panel.columns else with_position(panel)
-    return base.withColumns({**lag_features(lags), **rolling_features(), **ewm_features(), **level_features()})
+    return add_rolling(base).withColumns({**lag_features(lags), **ewm_features(), **level_features()})
 
 
 def feature_names(lags: list[int]) -> list[str]:
-    return [*[f"lag_{k}" for k in lags], *rolling_features(), *ewm_features(), *level_features()]
+    rolling = [f"{name}_{k}" for k in ROLLING_WINDOWS for name in ("rolling_mean", "rolling_median", "nonzero_rate")]
+    rolling += [f"rolling_std_{k}" for k in STD_WINDOWS]
+    return [*[f"lag_{k}" for k in lags], *rolling, *ewm_features(), *level_features()]
 
 
 def direct_frame(

@@ -76,7 +76,7 @@ def future_covariates(
         if policy == "carry":
             facts.append(F.max_by(value, F.when(value.isNotNull(), F.col("ts"))).alias(f"__fill_{c}"))
         elif policy == "median":
-            number = C.to_number(value)
+            number = C.number(history, c)
             middle = F.percentile(number, F.lit(0.5))
             common = F.expr(f"mode() WITHIN GROUP (ORDER BY `{c}`)")
             if C.is_text(history.schema[c].dataType):

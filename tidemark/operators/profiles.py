@@ -109,7 +109,8 @@ def lifecycle(panel: DataFrame, freq: str, season: int | None = None) -> DataFra
 
 
 def series_profile(panel: DataFrame, freq: str, season: int | None = None) -> DataFrame:
-    """All diagnostics in one row per item; the parts share the item partitioning."""
+    """All diagnostics in one row per item; one exchange by item serves every part."""
+    panel = panel.select("item_id", "ts", "target").repartition("item_id")
     return (
         demand_class(panel)
         .join(seasonality(panel, freq, season), "item_id")

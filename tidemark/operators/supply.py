@@ -16,7 +16,7 @@ def _month(df: DataFrame, name: str) -> Column:
 
 
 def _number(df: DataFrame, name: str) -> Column:
-    return C.number_or(F.col(name)) if name in df.columns else F.lit(0.0)
+    return C.number_or(df, name)
 
 
 def _maybe(df: DataFrame, name: str, default=None) -> Column:
@@ -42,7 +42,7 @@ def operations_gate(tables: dict[str, DataFrame]) -> DataFrame:
                     blank = blank | F.col(c).isNull()
                 counts[f"{name}_blank_values"] = F.count_if(blank)
             for c in NUMERIC_COLUMNS[name]:
-                value = C.to_number(F.col(c))
+                value = C.number(df, c)
                 counts[f"{name}_{c}_invalid"] = F.count_if(~(C.is_finite(value) & (F.coalesce(value, F.lit(-1.0)) >= 0)))
             for c in ("period", "due_date"):
                 if c in needed:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import history, modelling, planning, ingest, fitted  # noqa: F401
-from .registry import ORACLES, QUERIES
+from .registry import ORACLES, QUERIES, RAW
 
 
 def all_queries():
@@ -12,3 +12,8 @@ def all_queries():
 
 def all_oracles():
     return dict(ORACLES)
+
+
+def raw_queries():
+    """The queries without the rounding that comparison by value needs."""
+    return dict(RAW)

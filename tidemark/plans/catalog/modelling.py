@@ -64,7 +64,8 @@ def _featured(columns):
 query("lag_features", sql(f"SELECT item_id, ts, idx, {_LAG_SQL} FROM part_idx", "part_idx",
                           doubles=" ".join(f"lag_{k}" for k in _LAGS)))(_featured(lambda: X.lag_features(_LAGS)))
 query("rolling_features", sql(f"SELECT item_id, ts, idx, {_ROLL_SQL} FROM part_idx", "part_idx",
-                              doubles=_ROLL_NAMES))(_featured(X.rolling_features))
+                              doubles=_ROLL_NAMES))(
+    lambda spark, d: X.add_rolling(X.with_position(P.part_panel(spark, d).select("item_id", "ts", "target"))).drop("target"))
 
 
 # whole-number history: values that end in an exact half then round alike in both engines
@@ -369,11 +370,12 @@ for _family in ("seasonal", "intermittent", "model:Croston"):
 
 def blended(spark, d, panel=P.part_panel):
     made, folds, history = records(spark, d, panel)
-    return E.ensemble(made, E.series_weight_maps(made)), folds, history, made
+    maps = stage(E.series_weight_maps(made), "weights")
+    return E.ensemble(made, maps), folds, history, made, maps
 
 
 def residual_rows(spark, d, panel=P.part_panel):
-    blend, _folds, history, _made = blended(spark, d, panel)
+    blend, _folds, history, _made, _maps = blended(spark, d, panel)
     return stage(E.residuals(blend), "residuals"), history
 
 
@@ -430,9 +432,9 @@ for _n in ("part", "brand"):
 
 
 def spread_rows(spark, d, panel=P.part_panel):
-    blend, folds, history, made = blended(spark, d, panel)
+    blend, folds, history, made, maps = blended(spark, d, panel)
     future = B.predict_series(D.final_histories(history, "monthly", H), S)
-    ahead = E.ensemble(future, E.series_weight_maps(made), E.global_weight_map(made))
+    ahead = E.ensemble(future, maps, E.global_weight_map(made))
     res = stage(E.residuals(blend), "residuals")
     return I.calibrated_spread(res, ahead.drop("actual"), D.validation_horizon(folds)), res, folds, future
 

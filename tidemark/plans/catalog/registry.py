@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -27,6 +28,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def query(name: str, sql: str | None = None, digits: int = 6):
     def add(fn):
+        RAW[name] = fn
         QUERIES[name] = lambda spark, sf_dir: tidy(fn(spark, sf_dir), digits)
         if sql is not None:
             ORACLES[name] = sql
