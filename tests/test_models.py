@@ -213,6 +213,16 @@ def test_whole_run(spark, tmp_path):
         sinks.write_run("r1", {"forecast": run.forecast}, str(tmp_path))
 
 
+def test_learners_stand_aside_on_a_tiny_panel(spark):
+    panel = panel_of(spark, {"A": [5, 6, 7, 8, 9, 10, 11, 12]})
+    ahead = U.future_covariates(panel, horizon=2, calendar=False)
+    settings = Settings(profile="fast", horizon=2, learners=["Ridge + drivers"], statistical=[])
+    run = forecast_run(panel, ahead, settings)
+    made = run.predictions.filter("model = 'Ridge + drivers'").orderBy("ts").collect()
+    assert [r.pred for r in made] == pytest.approx([11.0, 34 / 3])
+    assert run.metrics.first().evidence_level == "limited" and run.forecast.count() == 2
+
+
 def test_settings_are_checked():
     for bad in ({"horizon": 25}, {"profile": "slow"}, {"method": "magic"}):
         with pytest.raises(ValueError):

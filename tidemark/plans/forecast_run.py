@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.fixed import MAX_HORIZON, MODELS
+from ..functions.fixed import FALLBACK_MODEL, MAX_HORIZON, MODELS
 from ..functions.periods import calendar_columns, lag_set, season_length
 from ..operators import baselines as B
 from ..operators import ensemble as E
@@ -65,8 +65,25 @@ class Run:
     label: DataFrame
 
 
+def _stand_ins(histories: DataFrame, names: list[str], models: dict, season: int) -> DataFrame | None:
+    """Seasonal naive predictions under the names of learners that could not be fitted."""
+    absent = [n for n in names if n not in models]
+    if not absent:
+        return None
+    return B.predict_series(histories, season, {n: B.EXACT[FALLBACK_MODEL] for n in absent})
+
+
+def _union(parts: list[DataFrame | None]) -> DataFrame | None:
+    made = [p for p in parts if p is not None]
+    out = made[0] if made else None
+    for part in made[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _learner_records(
-    panel: DataFrame, future: DataFrame, fold_rows: list, settings: Settings
+    panel: DataFrame, future: DataFrame, fold_rows: list, settings: Settings,
+    fold_hist: DataFrame, final_hist: DataFrame,
 ) -> tuple[DataFrame | None, DataFrame | None, dict, DataFrame | None]:
     """Backtest and final predictions of the learners; features are computed once for all folds."""
     names = settings.learner_names
@@ -92,20 +109,22 @@ def _learner_records(
 
     # an origin needs at least one earlier value
     started = F.col("lag_1").isNotNull()
-    made = None
+    season, made = season_length(settings.freq), []
     for fold, lags in zip(fold_rows, all_lags[1:]):
         start, end = F.lit(fold["val_start"]), F.lit(fold["val_end"])
         train = training(lags).filter((F.col("ts") < start) & (F.col("forecast_step") <= fold["fold_h"]))
         valid = usable(lags).filter((F.col("origin_ts") == start) & (F.col("ts") <= end) & F.col("y").isNotNull() & started)
         models = G.fit_global(train, settings.profile, names)
+        number = int(fold["fold"])
         if models:
-            one = G.predict_global(models, valid).withColumn("fold", F.lit(int(fold["fold"])))
-            made = one if made is None else made.unionByName(one)
+            made.append(G.predict_global(models, valid).withColumn("fold", F.lit(number)))
+        made.append(_stand_ins(fold_hist.filter(F.col("fold") == number), names, models, season))
     train = training(all_lags[0])
     final = G.fit_global(train, settings.profile, names)
     origin = usable(all_lags[0]).filter(F.col("origin_y").isNull() & started)
-    ahead_rows = G.predict_global(final, origin) if final else None
-    return made, ahead_rows, final, train
+    ahead = [G.predict_global(final, origin).withColumn("fold", F.lit(0)) if final else None]
+    ahead.append(_stand_ins(final_hist, names, final, season))
+    return _union(made), _union(ahead), final, train
 
 
 def forecast_run(panel: DataFrame, future: DataFrame, settings: Settings) -> Run:
@@ -120,13 +139,15 @@ def forecast_run(panel: DataFrame, future: DataFrame, settings: Settings) -> Run
     folds = stage(D.rolling_folds(history, settings.freq, settings.profile, settings.horizon), "folds")
     fold_rows = folds.orderBy("fold").collect()
     methods = settings.series_methods
-    backtest = B.predict_series(spread(D.fold_histories(history, folds)), season, methods)
-    final = B.predict_series(spread(D.final_histories(history, settings.freq, settings.horizon)), season, methods)
-    learned, ahead, models, train = _learner_records(panel, future, fold_rows, settings)
+    fold_hist = D.fold_histories(history, folds)
+    final_hist = D.final_histories(history, settings.freq, settings.horizon)
+    backtest = B.predict_series(spread(fold_hist), season, methods)
+    final = B.predict_series(spread(final_hist), season, methods)
+    learned, ahead, models, train = _learner_records(panel, future, fold_rows, settings, fold_hist, final_hist)
     if learned is not None:
         backtest = backtest.unionByName(learned.select(backtest.columns))
     if ahead is not None:
-        final = final.unionByName(ahead.withColumn("fold", F.lit(0)).select(final.columns))
+        final = final.unionByName(ahead.select(final.columns))
     horizon = D.validation_horizon(folds)
     records = stage(D.with_step(backtest, horizon), "records")
     predictions = stage(final, "predictions")
