@@ -1,8 +1,12 @@
 import datetime as dt
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tidemark.functions.periods import calendar_columns
@@ -115,6 +119,17 @@ def test_batches_do_not_mix_series():
             assert a == pytest.approx(b, rel=1e-6)
 
 
+def test_worker_functions_need_no_installed_package(tmp_path):
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(forecast_batch))
+    code = (
+        "import pickle, numpy as np; f = pickle.load(open('f.pkl', 'rb'));"
+        "print(len(f('Theta', [np.arange(20.0)], [4], 12)[0]))"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("4"), done.stderr
+
+
 @pytest.mark.parametrize("n", [3, 57, 25_000])
 def test_exact_quantile_with_a_hot_value(spark, n):
     rng = random.Random(n)
