@@ -11,8 +11,10 @@ the indexes of its own length and of up to tau shorter ones with the few substri
    one shuffle finds the hashes that two different lines share.
 2. ``read``: a second reading keeps (place, id) of every line, and text, segments and probes only of the
    lines that meet a live hash, by a Bloom bitmap of fixed size.
-3. ``edit_links``: segments and probes are joined on the hash; the distinct pairs are verified by a banded
-   bit-parallel edit distance, many pairs at a time.
+3. ``edit_links``: segments and probes are joined on the hash. The join itself leaves out pairs whose
+   character counts differ by more than 2 * tau, which no tau edits can do, so that a large group of lines
+   with other words in them does not come out pair by pair. The distinct pairs that are left are verified
+   by a banded bit-parallel edit distance, many pairs at a time.
 4. ``marks``: a line's first place by a plain aggregate; copies never meet in one task.
 
 A line's id is a 64-bit hash of its characters and length. Defined cases: null texts are empty;
@@ -37,6 +39,8 @@ LEAST = 20
 TAU = 2
 #: Bits of the bitmap of live hashes: 8 MB, whatever their number.
 BITS = 26
+#: Classes of characters that are counted to tell lines apart in the join.
+CLASSES = 16
 
 
 def lines_of(part: pa.RecordBatch, hasher: Hasher, least: int):
@@ -129,8 +133,8 @@ def read(docs: DataFrame, bitmap: np.ndarray, least: int, tau: int) -> DataFrame
     """One row per document: its lines as (place, id), and in full those that meet a live hash."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     line = pa.struct([("place", pa.int32()), ("id", pa.int64())])
-    full = pa.struct([("id", pa.int64()), ("text", pa.string()), ("segments", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
-    schema = "doc_id long, row binary, lines array<struct<place:int,id:long>>, near array<struct<id:long,text:string,segments:array<long>,probes:array<long>>>"
+    full = pa.struct([("id", pa.int64()), ("text", pa.string()), ("counts", pa.list_(pa.int16())), ("segments", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
+    schema = "doc_id long, row binary, lines array<struct<place:int,id:long>>, near array<struct<id:long,text:string,counts:array<smallint>,segments:array<long>,probes:array<long>>>"
 
     def passes(h: np.ndarray) -> np.ndarray:
         bits, one = shared.value, np.uint64(1)
@@ -153,8 +157,10 @@ def read(docs: DataFrame, bitmap: np.ndarray, least: int, tau: int) -> DataFrame
                 near = [[] for _ in range(part.num_rows)]
                 for j in np.flatnonzero(np.any(own_ok + probed_ok, axis=0)) if len(first) else ():
                     i = first[j]
+                    chars = text[start[i] : start[i] + length[i]]
                     near[row[i]].append({
-                        "id": int(ids[i].view(np.int64)), "text": text[start[i] : start[i] + length[i]].tobytes().decode("utf-32-le"),
+                        "id": int(ids[i].view(np.int64)), "text": chars.tobytes().decode("utf-32-le"),
+                        "counts": np.minimum(np.bincount(chars % CLASSES, minlength=CLASSES), 32767),
                         "segments": [int(h[j].view(np.int64)) for h, ok in zip(own, own_ok) if ok[j]],
                         "probes": [int(h[j].view(np.int64)) for h, ok in zip(probed, probed_ok) if ok[j]],
                     })
@@ -224,9 +230,11 @@ def within(a: list[str], b: list[str], tau: int) -> np.ndarray:
 def edit_links(lines: DataFrame, tau: int) -> DataFrame:
     """Rows (a, b), a < b, of different lines within tau edits."""
     near = stage(lines.select(F.explode("near").alias("n")).select("n.*").dropDuplicates(["id"]), "near-lines")
-    own = near.select(F.col("id").alias("a"), F.explode("segments").alias("hash"))
-    other = near.select(F.col("id").alias("b"), F.explode("probes").alias("hash"))
-    pairs = own.join(other, "hash").filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    own = near.select(F.col("id").alias("a"), F.col("counts").alias("u"), F.explode("segments").alias("hash"))
+    other = near.select(F.col("id").alias("b"), F.col("counts").alias("v"), F.explode("probes").alias("hash"))
+    apart = F.aggregate(F.zip_with("u", "v", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda total, x: total + x)
+    met = own.join(other, (own["hash"] == other["hash"]) & (F.col("a") != F.col("b")) & (apart <= 2 * tau))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     texts = near.select("id", "text")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
