@@ -39,6 +39,8 @@ WORDS, SIMILAR = 5, 0.8
 COORDINATES = 64
 #: Sets that are compared pair by pair in one place.
 BUCKET = 96
+#: Sets in a block of a group that is larger than that and is not dealt further.
+BLOCK = 512
 DEPTH = 6
 #: A pair at the threshold shares one node at least with this probability.
 RECALL = 0.9999
@@ -110,7 +112,7 @@ def buckets(sets: DataFrame, runs: int) -> DataFrame:
             return done
         if depth < DEPTH:
             rows = _deal(rows)
-    return done.unionByName(in_blocks(rows, "node", BUCKET).select("node", "key", "sketch"))
+    return done.unionByName(in_blocks(rows, "node", BLOCK).select("node", "key", "sketch"))
 
 
 def in_blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
@@ -254,7 +256,7 @@ def links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """
     size = sets.select("label").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     sized = sets.join(size, "label").withColumn("node", F.xxhash64("label"))
-    blocks = in_blocks(sized, "node", BUCKET).select("node", "key", "grams", "own", "low", "high")
+    blocks = in_blocks(sized, "node", BLOCK).select("node", "key", "grams", "own", "low", "high")
 
     def batches(source):
         for batch in _groups(source, "node"):
