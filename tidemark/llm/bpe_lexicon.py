@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer of the frequent words.
 
-1. ``word_counts`` counts the words of all texts; the ``size`` most frequent ones make the lexicon.
+1. ``word_counts`` counts the words of all texts; the most frequent ones, ``size`` at most, make the lexicon.
 2. ``compile_lexicon`` merges each once and builds a minimal automaton over their UTF-8 bytes. Equal
    suffixes share states; every transition carries a number, and their sum along a word is its place
    in the table of ids. The arrays go to executors as one file, which they memory-map.
@@ -28,13 +28,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .registry import query
-from .support import shared_file, table, worker_cache
+from .support import shared_file, stage, table, worker_cache
 from .words import slices
 
 #: Words in the automaton. A size for memory only: all other words are merged exactly.
 LEXICON_WORDS = 65536
 #: Words in a worker's store before it starts anew.
 STORE_WORDS = 300_000
+#: Words of more bytes are merged one by one, with a heap.
+LONG_WORD = 64
 #: Words counted before a task hands its counts on.
 COUNT_WORDS = 200_000
 
@@ -67,6 +69,12 @@ class Rules:
         letters = byte_letters()
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + self.suffix] for x in letters]
+        self.first_ids = np.array(self.inner), np.array(self.final)
+        found = sorted((a * 65536 + b, rank) for (a, b), (rank, _) in self.merges.items())
+        by_rank = np.zeros(len(pairs), np.int64)
+        for rank, new in self.merges.values():
+            by_rank[rank] = new
+        self.pairs = np.array([k for k, _ in found]), np.array([r for _, r in found]), by_rank
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"], regex.V1).findall
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
@@ -124,10 +132,68 @@ class Rules:
                     heapq.heappush(heap, (m[0], a, m[1], ids[a], ids[nxt[a]]))
         return [x for x in ids if x >= 0]
 
+    def merge_many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words on end and their bounds. In each round every word makes its next merge.
+
+        ``rank`` holds the rank of the pair that starts at each symbol; a merge renews it at two places.
+        """
+        keys, key_ranks, by_rank = self.pairs
+        none = np.int64(len(by_rank))
+
+        def ranks(left, right):
+            key = left * 65536 + right
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(keys[at] == key, key_ranks[at], none)
+
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.first_ids[0][data]
+        ids[ends - 1] = self.first_ids[1][data[ends - 1]]
+        starts, word = ends - sizes, np.arange(len(words))
+        rank = np.full(len(ids), none)
+        rank[:-1] = ranks(ids[:-1], ids[1:])
+        rank[ends - 1] = none
+        done_ids, done_words, done_sizes = [], [], []
+        while len(word):
+            best = np.minimum.reduceat((rank << 32) | np.arange(len(rank)), starts)
+            open_ = (best >> 32) < none
+            if not open_.all():  # words without a further merge leave
+                stay = np.repeat(open_, sizes)
+                done_ids.append(ids[~stay]), done_words.append(word[~open_]), done_sizes.append(sizes[~open_])
+                best = best[open_]
+                moved = np.cumsum(stay) - 1
+                ids, rank, sizes, word = ids[stay], rank[stay], sizes[open_], word[open_]
+                at = moved[best & 0xFFFFFFFF]
+                starts = np.cumsum(sizes) - sizes
+            else:
+                at = best & 0xFFFFFFFF
+            if not len(word):
+                break
+            ids[at] = by_rank[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            rank[at] = rank[at + 1]
+            ids, rank = ids[keep], rank[keep]
+            at = at - np.arange(len(at))  # one symbol less for each word before
+            sizes = sizes - 1
+            starts = np.cumsum(sizes) - sizes
+            right = at[at < starts + sizes - 1]
+            rank[right] = ranks(ids[right], ids[right + 1])
+            left = at[at > starts] - 1
+            rank[left] = ranks(ids[left], ids[left + 1])
+        word = np.concatenate(done_words) if done_words else np.zeros(0, np.int64)
+        sizes = np.concatenate(done_sizes) if done_sizes else np.zeros(0, np.int64)
+        flat = np.concatenate(done_ids) if done_ids else np.zeros(0, np.int64)
+        order = np.argsort(word, kind="stable")
+        begin = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return flat[np.repeat(begin - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+
     def decode(self, ids) -> str:
         """Tokens joined by blanks, as a tokenizer without a decoder does; unknown ids are left out."""
-        token = self.token
-        return " ".join([token[i] for i in ids if i in token])
+        return " ".join(filter(None, map(self.token.get, ids)))
 
 
 def compile_lexicon(entries: list[tuple[str, list[int]]]) -> dict[str, np.ndarray]:
@@ -279,9 +345,21 @@ def word_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the most frequent words and hand the automaton to the executors; returns the file's name."""
+    """Compile the most frequent words and hand the automaton to the executors; returns the file's name.
+
+    Words are taken by classes of their counts, eight to each doubling, as long as all words of a class
+    fit: a few hundred sums and ``size`` words at most come to the driver, and nothing is sorted.
+    """
     spark = docs.sparkSession
-    frequent = word_counts(docs, tokenizer).orderBy(F.desc("n"), "word").limit(size)
+    counts = stage(word_counts(docs, tokenizer).withColumn("class", F.floor(8 * F.log2("n")).cast("int")), "word-counts")
+    sums = counts.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("class")).collect()
+    least, total = None, 0
+    for r in sums:
+        total += r["n"]
+        if total > size:
+            break
+        least = r["class"]
+    frequent = counts.filter(F.col("class") >= F.lit(least)) if least is not None else counts.limit(0)
     rules = _rules(tokenizer)
     entries = [(r["word"], rules.merge(r["word"])) for r in frequent.select("word").collect()]
     return shared_file(spark, "lexicon.bin", pack(compile_lexicon(entries)))
@@ -294,13 +372,26 @@ class Words:
         self.rules, self.lexicon, self.ids, self.text = rules, lexicon, {}, {}
 
     def learn(self, new: list[str]) -> None:
-        if len(self.ids) > STORE_WORDS:
-            self.ids.clear(), self.text.clear()
-        lex, rules = self.lexicon, self.rules
-        for word, place in zip(new, places(lex, [w.encode() for w in new]).tolist()):
-            ids = lex["ids"][lex["bounds"][place] : lex["bounds"][place + 1]] if place >= 0 else np.array(rules.merge(word), "<u4")
-            self.ids[word] = ids.tobytes()
-            self.text[word] = rules.decode(ids.tolist())
+        lex, rules, raw = self.lexicon, self.rules, [w.encode() for w in new]
+        found = places(lex, raw)
+        ids, bounds = lex["ids"], lex["bounds"]
+        unseen = []
+        for k, place in enumerate(found.tolist()):
+            if place >= 0:
+                self.keep(new[k], ids[bounds[place] : bounds[place + 1]].tobytes())
+            elif len(raw[k]) > LONG_WORD or raw[k][0] == 0:
+                self.keep(new[k], np.array(rules.merge(new[k]), "<u4").tobytes())
+            else:
+                unseen.append(k)
+        if unseen:
+            flat, at = rules.merge_many([raw[k] for k in unseen])
+            packed, at = flat.astype("<u4").tobytes(), (4 * at).tolist()
+            for k, a, b in zip(unseen, at, at[1:]):
+                self.keep(new[k], packed[a:b])
+
+    def keep(self, word: str, ids: bytes) -> None:
+        self.ids[word] = ids
+        self.text[word] = self.rules.decode(memoryview(ids).cast("I"))
 
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
