@@ -33,6 +33,8 @@ PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same without the line break.
+INNER_SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Notices by label. A parameter of ``license_scan``.
 TEMPLATES = [
@@ -54,11 +56,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(lowered(text), SEPARATORS), lambda w: w != "")
+    """Lower case. Beyond A-Z it maps letters outside ASCII to such letters; the Kelvin sign, which would become a k, is set aside."""
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u2126")))
 
 
 def template_words(templates) -> list[tuple[str, list[str]]]:
@@ -106,9 +105,9 @@ def read(docs: DataFrame, templates, phrases, least: float = LEAST) -> DataFrame
     sets = template_words(templates)
     vocabulary = F.lit(sorted({w for _, ws in sets for w in ws}))
     smallest = min(math.ceil(least * len(ws) - 1e-9) for _, ws in sets)
-    text = text_of()
-    # one blank before each word and one at the end: phrases can then be looked for as strings
-    flat = F.regexp_replace(F.concat(F.lit(" "), lowered(text), F.lit(" ")), SEPARATORS, " ")
+    # words parted by one blank, lines by line breaks; then all on one line, a blank before and after each word
+    spaced = F.regexp_replace(lowered(text_of()), INNER_SEPARATORS, " ")
+    flat = F.regexp_replace(F.concat(F.lit("\n"), F.col("spaced"), F.lit("\n")), r" *\n[ \n]*", " ")
     n_words = F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "))) - 1
 
     def places(phrase: str) -> Column:
@@ -120,9 +119,10 @@ def read(docs: DataFrame, templates, phrases, least: float = LEAST) -> DataFrame
         )
         return F.when(F.contains("flat", F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(
-        i.alias("line"), F.array_distinct(F.array_intersect(words_of(line), vocabulary)).alias("held")))
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), flat.alias("flat"), lines.alias("lines")).select(
+    lines = F.transform(F.split("spaced", "\n"), lambda line, i: F.struct(
+        i.alias("line"), F.array_intersect(F.split(line, " "), vocabulary).alias("held")))
+    rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), spaced.alias("spaced"))
+    return rows.select("doc_id", "key", flat.alias("flat"), lines.alias("lines")).select(
         "doc_id", "key", n_words.cast("long").alias("n_words"), *[places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)],
         F.filter("lines", lambda b: F.size(b["held"]) >= smallest).alias("blocks"),
     )
