@@ -103,7 +103,7 @@ def matches(blocks: DataFrame, templates, least: float = LEAST) -> DataFrame:
 def read(docs: DataFrame, templates, phrases, least: float = LEAST) -> DataFrame:
     """One row per document: counts, base matches, and its blocks cut to template words."""
     sets = template_words(templates)
-    vocabulary = F.lit(sorted({w for _, ws in sets for w in ws}))
+    vocabulary = sorted({w for _, ws in sets for w in ws})  # a constant hash set in the plan
     smallest = min(math.ceil(least * len(ws) - 1e-9) for _, ws in sets)
     # words parted by one blank, lines by line breaks; then all on one line, a blank before and after each word
     spaced = F.regexp_replace(lowered(text_of()), INNER_SEPARATORS, " ")
@@ -120,7 +120,7 @@ def read(docs: DataFrame, templates, phrases, least: float = LEAST) -> DataFrame
         return F.when(F.contains("flat", F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
     lines = F.transform(F.split("spaced", "\n"), lambda line, i: F.struct(
-        i.alias("line"), F.array_intersect(F.split(line, " "), vocabulary).alias("held")))
+        i.alias("line"), F.array_distinct(F.filter(F.split(line, " "), lambda w: w.isin(vocabulary))).alias("held")))
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), spaced.alias("spaced"))
     return rows.select("doc_id", "key", flat.alias("flat"), lines.alias("lines")).select(
         "doc_id", "key", n_words.cast("long").alias("n_words"), *[places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)],
