@@ -171,3 +171,10 @@ def test_running_accuracy_counts_each_actual_once(spark, tmp_path):
     sink(batch.withColumn("ts", F.add_months("ts", 1)), 1)
     row = feeds.running_metrics(spark.read.parquet(str(tmp_path))).first()
     assert row.validation_points == 2 and row.wape_pct == pytest.approx(25.0)
+
+
+def test_only_a_single_machine_may_stage_in_a_temporary_folder():
+    from tidemark.session import is_single_machine
+
+    assert is_single_machine("local") and is_single_machine("local[8]")
+    assert not any(is_single_machine(m) for m in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"))

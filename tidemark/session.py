@@ -26,10 +26,17 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def is_single_machine(master: str) -> bool:
+    """Whether driver and executors share one process, and so one temporary folder."""
+    return master == "local" or master.startswith("local[")
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only in local mode where none is set."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not is_single_machine(spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")
