@@ -33,8 +33,8 @@ PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same without the line break.
-INNER_SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of separators within a line that are not one blank already.
+UNEVEN_GAPS = r"[\x00-\x09\x0B-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F][\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*| [\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Notices by label. A parameter of ``license_scan``.
 TEMPLATES = [
@@ -100,31 +100,53 @@ def matches(blocks: DataFrame, templates, least: float = LEAST) -> DataFrame:
     return hits.filter(common >= F.col("need")).select("key", "line", "label", "template", (common / F.size("tokens")).alias("share"))
 
 
+def one_of(words: list[str]) -> str:
+    """A pattern of the given words, parted by their first letters. Words hold no character that means something in a pattern."""
+    by_start: dict[str, list[str]] = {}
+    for w in words:
+        by_start.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in sorted(by_start.items()))
+
+
 def read(docs: DataFrame, templates, phrases, least: float = LEAST) -> DataFrame:
     """One row per document: counts, base matches, and its blocks cut to template words."""
     sets = template_words(templates)
-    vocabulary = sorted({w for _, ws in sets for w in ws})  # a constant hash set in the plan
+    vocabulary = sorted({w for _, ws in sets for w in ws})
     smallest = min(math.ceil(least * len(ws) - 1e-9) for _, ws in sets)
     # words parted by one blank, lines by line breaks; then all on one line, a blank before and after each word
-    spaced = F.regexp_replace(lowered(text_of()), INNER_SEPARATORS, " ")
-    flat = F.regexp_replace(F.concat(F.lit("\n"), F.col("spaced"), F.lit("\n")), r" *\n[ \n]*", " ")
+    spaced = F.concat(F.lit("\n"), F.regexp_replace(lowered(text_of()), UNEVEN_GAPS, " "), F.lit("\n"))
+    flat = F.regexp_replace("spaced", r" *\n[ \n]*", " ")
     n_words = F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "))) - 1
-
-    def places(phrase: str) -> Column:
-        k = phrase.count(" ") + 1
-        words = F.filter(F.split(F.col("flat"), " "), lambda w: w != "")
-        found = F.filter(
-            F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))),
-            lambda i: F.array_join(F.slice(words, i + 1, k), " ") == phrase,
-        )
-        return F.when(F.contains("flat", F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
-
-    lines = F.transform(F.split("spaced", "\n"), lambda line, i: F.struct(
-        i.alias("line"), F.array_distinct(F.filter(F.split(line, " "), lambda w: w.isin(vocabulary))).alias("held")))
+    # template words and line breaks alone; one pass of a pattern costs far less than a test of each word in an array
+    seen = F.regexp_extract_all("spaced", F.lit(rf"\n|(?<=[ \n])(?:{one_of(vocabulary)})(?=[ \n])"), F.lit(0))
+    shortest = 2 * smallest - 1  # characters of so many words
+
+    def places(phrase: str, name: str) -> list[Column]:
+        """How often a phrase stands there and the words in front of its first and last place; a line break marks each."""
+        blanks = lambda part: F.length(part) - F.length(F.replace(part, F.lit(" ")))
+        marked = F.col(f"m{name}")
+        there = F.length(marked) > F.length("flat")
+        return [
+            (F.length(marked) - F.length("flat")).alias(f"c{name}"),
+            F.when(there, blanks(F.substring_index(marked, "\n", 1)) - 1).alias(f"f{name}"),
+            F.when(there, blanks(F.col("flat")) - 1 - blanks(F.substring_index(marked, "\n", -1))).alias(f"l{name}"),
+        ]
+
+    marks = [
+        F.when(F.contains("flat", F.lit(f" {p} ")), F.regexp_replace("flat", f"(?<= )(?={p} )", "\n")).otherwise(F.col("flat")).alias(f"m{i}")
+        for i, (p, _) in enumerate(phrases)
+    ]
+    # the text begins with a line break that is not its own
+    lines = F.transform(F.split(F.array_join(seen, " "), "\n"), lambda line, i: F.struct((i - 1).alias("line"), F.trim(line).alias("words")))
+    blocks = F.transform(
+        F.filter(lines, lambda b: F.length(b["words"]) >= shortest),
+        lambda b: F.struct(b["line"].alias("line"), F.array_distinct(F.split(b["words"], " ")).alias("held")),
+    )
     rows = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), spaced.alias("spaced"))
-    return rows.select("doc_id", "key", flat.alias("flat"), lines.alias("lines")).select(
-        "doc_id", "key", n_words.cast("long").alias("n_words"), *[places(p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)],
-        F.filter("lines", lambda b: F.size(b["held"]) >= smallest).alias("blocks"),
+    rows = rows.select("doc_id", "key", flat.alias("flat"), blocks.alias("blocks")).select("*", *marks)
+    return rows.select(
+        "doc_id", "key", n_words.cast("long").alias("n_words"), *[c for i, (p, _) in enumerate(phrases) for c in places(p, str(i))],
+        F.filter("blocks", lambda b: F.size(b["held"]) >= smallest).alias("blocks"),
     )
 
 
@@ -135,13 +157,15 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, least: f
     found = matches(blocks, templates, least).groupBy("key").agg(
         F.collect_set("label").alias("added"), F.max("share").alias("score"), F.countDistinct("line").alias("n_blocks")
     )
-    every = F.flatten(F.array(*[F.col(f"p{i}") for i in range(len(phrases))]))
-    base = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, label) for i, (_, label) in enumerate(phrases)]))
+    each = range(len(phrases))
+    n_base = sum((F.col(f"c{i}") for i in each), F.lit(0))
+    base = F.array_compact(F.array(*[F.when(F.col(f"c{i}") > 0, label) for i, (_, label) in enumerate(phrases)]))
     joined = F.array_join(F.array_sort(F.array_distinct(F.concat(base, F.coalesce("added", F.array().cast("array<string>"))))), ",")
+    outer = lambda pick, columns: pick(*columns, F.lit(None).cast("int"), F.lit(None).cast("int")).cast("long")
     return seen.join(found, "key", "left").select(
-        "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        joined.alias("labels"), F.when(F.size(every) > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
+        "doc_id", "n_words", n_base.cast("long").alias("n_base"), outer(F.least, [F.col(f"f{i}") for i in each]).alias("first_word"),
+        outer(F.greatest, [F.col(f"l{i}") for i in each]).alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        joined.alias("labels"), F.when(n_base > 0, 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
         F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"),
     )
 
