@@ -127,7 +127,8 @@ def url_filter(
     mean = F.coalesce(*[F.col(f"{p}a") / (F.col(f"{p}a") + F.col(f"{p}b")) for p in "hds"], F.lit(found["start"]["rate"]))
     size = F.coalesce(F.col("ha") + F.col("hb"), F.col("ds"), F.col("ss"), F.lit(WEAKEST))
     bound = mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (size + 1))
-    hosts = hosts.select("host", mean.alias("posterior_mean"), bound.alias("posterior_bound"))
+    # written, so that the join below spreads both sides anew and Spark can split a host with very many pages
+    hosts = stage(hosts.select("host", mean.alias("posterior_mean"), bound.alias("posterior_bound")), "host-bounds")
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return (
         pages.select("page_id", host.alias("host"), path.alias("path"))
