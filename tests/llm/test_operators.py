@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -137,6 +138,23 @@ def test_license_scan(docs, none):
     assert all(r["labels"] == "" and r["first_word"] is None for r in rows if r["doc_id"] != 12)
 
 
+def test_license_phrases_against_brute_force(spark):
+    phrases = [*license_join.PHRASES, ("a b a", "self")]
+    texts = [
+        "cc by nc", "CC-BY\n\nNC cc by nc,cc;by  nc", "a b a b a b a", "xcc by nc cc by ncx", "\n\nUnder the MIT\n license", "--- ", "a b", "\u212a cc by nc",
+        "Apache License, Version 2.0 under the the mit license", "w " * 100_000 + "cc by nc\n" + "w\t" * 50 + "cc by nc", "\u00e9\u3000cc by nc \u0130",
+    ]
+    rows = license_join.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), phrases=phrases).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        low = texts[r["doc_id"]].translate(str.maketrans(license_join.UPPER, license_join.LOWER))
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(i, label) for p, label in phrases for i in range(len(ws)) if ws[i : i + p.count(" ") + 1] == p.split(" ")]
+        found = sorted(i for i, _ in at)
+        want = (len(ws), len(at), found[0] if at else None, found[-1] if at else None, ",".join(sorted({x for _, x in at})))
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == want, r["doc_id"]
+
+
 def test_quality_rules(spark, docs, none):
     assert ids(line_rules.quality_rules(docs).collect()) == ALL and line_rules.quality_rules(none).count() == 0
     shared = [(i, "this boilerplate line is shared by everyone here\n" + prose(30, 700 + i), "s") for i in range(8)]
