@@ -2,8 +2,9 @@ import datetime as dt
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from tidemark.functions.columns import to_day
 from tidemark.sources import files, profile, sinks, workbook
 from tidemark.streaming import feeds
 
@@ -93,6 +94,46 @@ def test_latin1_and_tsv(spark, tmp_path):
     assert files.read_delimited(spark, str(path)).first().item == "Café"
 
 
+def test_a_folder_of_mixed_files(spark, tmp_path):
+    folder = tmp_path / "mixed files"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes("item,qty\nCafé,1\n".encode())
+    (folder / "b.csv").write_bytes("item,qty\nCafé,2\n".encode("latin-1"))
+    (folder / "c.csv").write_bytes("qty;item;note\n3;Café;x\n".encode())
+    (folder / "d.csv").write_bytes(b"")
+    rows = files.read_delimited(spark, str(folder)).orderBy("qty").collect()
+    assert [(r.item, r.qty, r.note) for r in rows] == [("Café", "1", None), ("Café", "2", None), ("Café", "3", "x")]
+
+
+def test_line_breaks_in_quotes(spark, tmp_path):
+    path = tmp_path / "data.csv"
+    path.write_text('item,note\nA,"one\ntwo"\n')
+    assert files.read_delimited(spark, str(path), sep=",", multi_line=True).first().note == "one\ntwo"
+
+
+@pytest.mark.parametrize("text, day", [
+    ("Jan 2025", "2025-01-01"), ("January 2025", "2025-01-01"), ("15-Mar-2025", "2025-03-15"), ("5 Mar 2025", "2025-03-05"),
+    ("20250131", "2025-01-31"), ("soon", None),
+])
+def test_forms_of_dates(spark, text, day):
+    got = spark.createDataFrame([(text,)], "d string").select(to_day(F.col("d"), T.StringType()).alias("d")).first().d
+    assert (got and str(got)) == day
+
+
+def test_whole_numbers_as_dates(spark):
+    df = spark.createDataFrame([(20250131,), (7,), (None,)], "d int")
+    got = df.select(to_day(F.col("d"), df.schema["d"].dataType).alias("d")).collect()
+    assert [r.d for r in got] == [dt.date(2025, 1, 31), None, None]
+
+
+def test_matrix_headers_with_month_names(spark):
+    df = spark.createDataFrame(
+        [(*["A"] * len(workbook.MATRIX_KEYS), 1.0, 2.0, 3.0)], [*workbook.MATRIX_KEYS, "Jan 2025", "Feb 2025", "15-Mar-2025"]
+    )
+    rows = workbook.unpivot_matrix(df).orderBy("date").collect()
+    assert [(r.date, r.demand) for r in rows] == [(dt.date(2025, m, 1), float(m)) for m in (1, 2, 3)]
+
+
 def test_json_by_suffix(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"x": 1},\n {"x": 2}]')
     (tmp_path / "b.jsonl").write_text('{"x": 1}\n{"x": 2}\n{"x": 3}\n')

@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 from .fixed import BLANK_WORDS, ZERO
 
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
-_DATE_FORMATS = ("M/d/yyyy", "yyyy/M/d", "d.M.yyyy", "yyyyMMdd", "yyyy-MM")
+_DATE_FORMATS = (
+    "M/d/yyyy", "yyyy/M/d", "d.M.yyyy", "yyyyMMdd", "yyyy-MM", "MMM yyyy", "MMMM yyyy", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy"
+)
 
 
 def is_text(dtype: T.DataType) -> bool:
@@ -40,8 +42,8 @@ def number_or(df: DataFrame, name: str, default: float = 0.0) -> Column:
 
 
 def to_day(col: Column, dtype: T.DataType | None = None) -> Column:
-    """Date, timestamp or text to DATE; unreadable text becomes null."""
-    if dtype is not None and not is_text(dtype):
+    """Date, timestamp, text or a whole number such as 20250131 to DATE; what is unreadable becomes null."""
+    if dtype is not None and not is_text(dtype) and not isinstance(dtype, T.NumericType):
         return col.cast("date")
     text = F.trim(col.cast("string"))
     tries = [F.try_to_timestamp(text)]

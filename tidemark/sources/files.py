@@ -14,26 +14,39 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 SEPARATORS = [",", ";", "\t", "|"]
 
 
-def sniff_separator(spark: SparkSession, path: str, lines: int = 200) -> str:
-    """The candidate that splits the first lines most evenly into the most fields."""
-    text = spark.read.text(path).filter(F.trim("value") != "").limit(lines)
+def file_formats(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, sep, encoding): the candidate that splits all lines of a file most evenly into the most fields."""
     # quoted text may contain any of the candidates
     bare = F.regexp_replace("value", '"[^"]*"', "")
     counts = [F.size(F.split(bare, re.escape(s), -1)).alias(f"c{i}") for i, s in enumerate(SEPARATORS)]
-    shape = text.select(*counts).agg(
-        *[F.struct(F.min(f"c{i}").alias("low"), F.avg(f"c{i}").alias("mean")).alias(f"c{i}") for i in range(len(SEPARATORS))]
-    ).first()
-    ranked = [(shape[f"c{i}"]["low"] or 0, shape[f"c{i}"]["mean"] or 0.0, -i) for i in range(len(SEPARATORS))]
-    return SEPARATORS[-max(ranked)[2]]
-
-
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """All columns as text; Latin-1 where the bytes are not UTF-8."""
-    if sep is None:
-        sep = "\t" if path.lower().endswith(".tsv") else sniff_separator(spark, path)
-    bad = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
-    encoding = "ISO-8859-1" if bad.take(1) else "UTF-8"
-    return spark.read.csv(path, sep=sep, header=True, encoding=encoding, quote='"', escape='"', multiLine=False)
+    # the file's name comes as a URI, in which a plus sign is itself
+    file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(file.alias("file"), "value", *counts)
+    ranked = [
+        F.struct(F.min(f"c{i}").alias("low"), F.avg(f"c{i}").alias("mean"), F.lit(-i).alias("order"), F.lit(s).alias("sep"))
+        for i, s in enumerate(SEPARATORS)
+    ]
+    found = lines.groupBy("file").agg(F.greatest(*ranked)["sep"].alias("sep"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+    tabs = F.lower("file").endswith(".tsv")
+    encoding = F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1")
+    return found.select("file", F.when(tabs, "\t").otherwise(F.col("sep")).alias("sep"), encoding.alias("encoding"))
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, multi_line: bool = False) -> DataFrame:
+    """All columns as text, files of any separator and encoding together, by column name.
+
+    Each file has its own separator, unless ``sep`` is given, and is Latin-1 where its bytes are not
+    UTF-8. Files of one kind are read together and share their header. With ``multi_line``, quoted
+    text may hold line breaks; a file is then one task's work.
+    """
+    kinds = {}
+    for file, own, encoding in sorted(file_formats(spark, path).collect()):
+        kinds.setdefault((sep or own, encoding), []).append(file)
+    out = None
+    for (mark, encoding), files in (kinds or {(sep or ",", "UTF-8"): [path]}).items():
+        one = spark.read.csv(files, sep=mark, header=True, encoding=encoding, quote='"', escape='"', multiLine=multi_line)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

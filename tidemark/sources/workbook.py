@@ -87,24 +87,29 @@ def column_status(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return both.select("path", "sheet", "col", F.coalesce(carried, F.lit("")).alias("status"))
 
 
-def matrix_months(columns: list[str]) -> list[str]:
-    """Column names that are dates between 2020 and 2100 and not a repeat of one."""
+def month_dates(columns: list[str]) -> dict:
+    """First of the month of the column names that are dates between 2020 and 2100 and not a repeat of one."""
     import pandas as pd
 
-    found = []
+    found = {}
     for name in columns:
         day = pd.to_datetime(name, errors="coerce") if not name.endswith(".1") else pd.NaT
         if not pd.isna(day) and 2020 <= day.year <= 2100:
-            found.append(name)
+            found[name] = day.date().replace(day=1)
     return found
 
 
+def matrix_months(columns: list[str]) -> list[str]:
+    return list(month_dates(columns))
+
+
 def unpivot_matrix(df: DataFrame, status: DataFrame | None = None, sheet: str = "") -> DataFrame:
     """Wide article by month matrix to long rows; other tables are returned as they are.
 
     ``status`` maps a column ``name`` to its status word.
     """
-    months = matrix_months(df.columns)
+    dates = month_dates(df.columns)
+    months = list(dates)
     if not set(MATRIX_KEYS) <= set(df.columns) or len(months) < 3:
         return df
     meta = {new: old for new, old in MATRIX_METADATA.items() if old in df.columns}
@@ -124,8 +129,10 @@ def unpivot_matrix(df: DataFrame, status: DataFrame | None = None, sheet: str =
     else:
         long = long.withColumn("status", F.lit(""))
     record = F.when(F.coalesce(F.col("status"), F.lit("")).contains("forecast"), "forecast").otherwise("actual")
+    # the date that made a column a month is the one its rows get
+    day = F.create_map(*[F.lit(v) for pair in dates.items() for v in pair])
     return long.select(
-        F.trunc(C.to_day(F.col("name")), "month").alias("date"), "demand", "series_id", record.alias("record_type"),
+        F.try_element_at(day, F.col("name")).alias("date"), "demand", "series_id", record.alias("record_type"),
         F.lit(sheet).alias("source_sheet"), *meta,
     )
 
