@@ -238,6 +238,29 @@ def test_learners_stand_aside_on_a_tiny_panel(spark):
     assert run.metrics.first().evidence_level == "limited" and run.forecast.count() == 2
 
 
+def test_a_method_without_fitted_models_is_an_error():
+    with pytest.raises(ValueError, match="available: Seasonal naive"):
+        Settings(method="model:AutoETS", statistical=[])
+    assert Settings(method="model:AutoETS").method == "model:AutoETS"
+
+
+@pytest.mark.parametrize("n, features", [(15, set()), (400, {"price", "noise"})])
+def test_importance_counts_every_item(spark, n, features):
+    # the last item by name does not react to the price, all others do
+    rng = np.random.default_rng(8)
+    rows = [
+        ("Z" if i % 10 == 0 else f"A{i % 7}", i // 7, 1, float(p), float(q), 5.0 if i % 10 == 0 else float(p) * 3)
+        for i, (p, q) in enumerate(rng.random((n, 2)) * 10)
+    ]
+    frame = spark.createDataFrame(rows, "item_id string, origin_idx int, forecast_step int, price double, noise double, y double")
+    frame = stage(frame, "importance")
+    name = "Ridge + drivers"
+    found = G.driver_importance(G.fit_global(frame, "fast", [name]), frame, {name: 1.0}, ["price", "noise"]).collect()
+    assert {r.feature for r in found} == features
+    if found:
+        assert found[0].feature == "price" and found[0].importance > 10 * found[1].importance and found[0].direction == "up"
+
+
 def test_settings_are_checked():
     for bad in ({"horizon": 25}, {"profile": "slow"}, {"method": "magic"}):
         with pytest.raises(ValueError):

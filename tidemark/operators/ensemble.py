@@ -28,6 +28,13 @@ def allowed_models(method: str) -> list[str] | None:
     return [name]
 
 
+def check_method(method: str, fitted: list[str]) -> None:
+    """A method none of whose models is fitted is an error, not a silent fallback."""
+    allowed = allowed_models(method)
+    if allowed is not None and not set(allowed) & set(fitted):
+        raise ValueError(f"no model of method {method!r} is fitted; available: {', '.join(fitted)}")
+
+
 def weigh(wapes: DataFrame, keys: list[str]) -> DataFrame:
     """Weights from ``keys..., model, wape``: close to the best, at most six, summing to 1."""
     group = W.partitionBy(*keys)

@@ -37,7 +37,7 @@ class Settings:
             raise ValueError(f"horizon must be between 1 and {MAX_HORIZON}")
         if self.profile not in ("fast", "deep"):
             raise ValueError("profile must be fast or deep")
-        E.allowed_models(self.method)
+        E.check_method(self.method, [*self.series_methods, *self.learner_names])
 
     @property
     def series_methods(self) -> dict:
