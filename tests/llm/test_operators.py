@@ -234,6 +234,31 @@ def test_spaced_seeds(spark, docs, none):
     assert spaced_seeds.clean(none, bench).count() == 0 and spaced_seeds.clean(docs, bench.limit(0)).count() == len(TEXTS)
 
 
+def test_best_stretch_equals_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        equal = r.random(r.integers(1, 40)) < r.choice([0.5, 0.7, 0.8, 0.9])
+        n = len(equal)
+        want = max((int(equal[i:j].sum()) for i in range(n) for j in range(i + 1, n + 1) if 4 * equal[i:j].sum() >= 3 * (j - i)), default=0)
+        a, b = spaced_seeds.best_stretch(equal, 0.75)
+        assert equal[a:b].sum() == want and 4 * equal[a:b].sum() >= 3 * (b - a)
+
+
+def test_edited_text_around_a_leak_does_not_hide_it(spark):
+    item = prose(200, 4711).split()
+    half = [w if i < 12 or i % 7 not in (1, 4) else "edited" for i, w in enumerate(item)]  # 12 words as they are, then a share of 5 in 7
+    short = {n: [f"s{n}w{i}" for i in range(n)] for n in (5, 8, 10)}
+    swapped = {n: [w if i not in at else "other" for i, w in enumerate(short[n])] for n, at in ((5, [2]), (8, [1, 6]), (10, [8]))}
+    bench = [(1, " ".join(item))] + [(n, " ".join(w)) for n, w in short.items()]
+    docs = [(1, half), (5, swapped[5]), (8, swapped[8]), (10, swapped[10]), (50, short[5][1:]), (51, short[5][:3] + ["a", "b"]), (80, short[8][:5])]
+    docs = [(d, "\n".join([prose(20, 5000 + d), " ".join(w)])) for d, w in docs]
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {bytes(r["key"]): r["item_ids"] for r in spaced_seeds.contaminated(frame, items).collect()}
+    got = {d: found.get(hashlib.md5(t.encode()).digest(), []) for d, t in docs}
+    assert got == {1: [1], 5: [5], 8: [8], 10: [10], 50: [5], 51: [], 80: []}
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """Each stage against a plain version on its own input, one after the other."""
     import corpus_pipeline

@@ -7,19 +7,23 @@ were replaced. Every position of every benchmark text and every document gets a
 2. ``document_segments`` hashes all documents in one pass and keeps the neighbourhoods of the seeds
    that pass the bitmap: their word hashes and the seeds. The bitmap only thins out what is shuffled.
 3. ``overlaps`` joins documents and benchmark on the hash, puts hits of one diagonal together and
-   compares the words along it: the best stretch is the one with the largest score (+1 for a
-   word, ``MISS`` for a replaced one); it counts when it has ``least`` equal words and a share of
-   ``similar`` of them; a benchmark text of fewer words must be there whole.
+   compares the words along it: of all stretches with a share of ``similar`` equal words, the one with
+   most equal words is taken, so text around a stretch cannot take its place; it counts with ``least`` equal
+   words, or the share ``similar`` of a benchmark text that has fewer than ``least``.
 
 Documents are told apart by their text, so copies are looked at once and take the result of their
 text in one join. Defined cases: null texts are empty; benchmark texts of five to eight words, too short
-for a mask, are looked for by the hash of all their words; those of fewer than five words recur by
-chance and are not looked for; several benchmark texts in one document are all reported; repeated rows give a row each; a null id stays
+for a mask, are looked for by the hashes of every choice of so many of their words as must be equal; those of
+fewer than five words recur by chance and are not looked for; several benchmark texts in one document are all reported; repeated rows give a row each; a null id stays
 null; an empty benchmark contaminates nothing; further columns are kept by ``clean`` and ignored by the query.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +37,7 @@ from .words import BASE, Hasher, mix, slices, utf8, words
 MASKS = ["xxxxxxx--", "xx-xx-xxx", "xxx--xx-x"]
 SPAN = 9
 #: A stretch counts with this many equal words and this share of equal words.
-LEAST, SIMILAR, MISS = 12, 0.75, -2
+LEAST, SIMILAR = 12, 0.75
 #: Bits of the bitmap: 2**24 bits are 2 MB, whatever the benchmark's size.
 BITS = 24
 #: Words kept around seeds of a document, on either side; a stretch that reaches further is found from its other seeds.
@@ -42,25 +46,39 @@ AROUND = 64
 SHORTEST = 5
 
 
-def seeds_of(hashes: np.ndarray, first: np.ndarray, mask_number: int) -> tuple[np.ndarray, np.ndarray]:
+def seeds_of(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """Seed hash at each place where the mask fits into the row, and these places."""
-    n = len(hashes)
-    if n < SPAN:
+    n = len(hashes) - len(mask) + 1
+    if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.full(n - SPAN + 1, mask_number + 1, np.uint64)
-    for j, mark in enumerate(MASKS[mask_number]):
+    out = np.full(n, int("1" + mask.replace("x", "1").replace("-", "0"), 2), np.uint64)
+    for j, mark in enumerate(mask):
         if mark == "x":
-            out = mix(out * np.uint64(BASE) + hashes[j : n - SPAN + 1 + j])
-    row_of = np.searchsorted(first, np.arange(n - SPAN + 1), "right") - 1
-    places = np.flatnonzero(first[1:][row_of] - np.arange(n - SPAN + 1) >= SPAN)
+            out = mix(out * np.uint64(BASE) + hashes[j : n + j])
+    row_of = np.searchsorted(first, np.arange(n), "right") - 1
+    places = np.flatnonzero(first[1:][row_of] - np.arange(n) >= len(mask))
     return out[places], places
 
 
+def needed(n: int, least: int, similar: float) -> int:
+    """Equal words that a benchmark text of n words needs."""
+    return least if n >= least else math.ceil(_share(similar) * n)
+
+
+def _share(similar: float) -> Fraction:
+    return Fraction(similar).limit_denominator(10_000)
+
+
+def short_masks(n: int, need: int) -> list[tuple[int, str]]:
+    """Each choice of ``need`` of n words as a mask from the first to the last word chosen, and where it begins."""
+    return [(c[0], "".join("x" if i in c else "-" for i in range(c[0], c[-1] + 1))) for c in combinations(range(n), need)]
+
+
 def _lowered(text: str = "text"):
     return F.lower(text_of(text)).alias("text")
 
 
-def benchmark_words(benchmark: DataFrame) -> DataFrame:
+def benchmark_words(benchmark: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """Rows (item_id, words, seeds) with hashes of words, and (place, hash) of the seeds of each text."""
     schema = "item_id long, item_text binary, words array<long>, seeds array<struct<place:int,hash:long>>"
 
@@ -70,15 +88,16 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
             for part in slices(whole, "text"):
                 _, _, hashes, first = words(*utf8(part.column("text")), hasher)
                 rows = [[] for _ in range(part.num_rows)]
-                for k in range(len(MASKS)):
-                    seed, at = seeds_of(hashes, first, k)
+                for mask in MASKS:
+                    seed, at = seeds_of(hashes, first, mask)
                     row = np.searchsorted(first, at, "right") - 1
                     for r, place, h in zip(row.tolist(), (at - first[row]).tolist(), seed.view(np.int64).tolist()):
                         rows[r].append({"place": place, "hash": h})
                 for r, n in enumerate(np.diff(first).tolist()):
                     if SHORTEST <= n < SPAN:
-                        run, _ = runs_of(hashes[first[r] : first[r + 1]], np.array([0, n]), n)
-                        rows[r].append({"place": 0, "hash": int(run.view(np.int64)[0])})
+                        for place, mask in short_masks(n, needed(n, least, similar)):
+                            seed, _ = seeds_of(hashes[first[r] + place : first[r] + place + len(mask)], np.array([0, len(mask)]), mask)
+                            rows[r].append({"place": place, "hash": int(seed.view(np.int64)[0])})
                 signed = hashes.view(np.int64)
                 yield pa.record_batch([
                     part.column("item_id"), part.column("item_text"),
@@ -90,7 +109,7 @@ def benchmark_words(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(batches, schema)
 
 
-def document_segments(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
+def document_segments(docs: DataFrame, bitmap, lengths: list[int], least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """Rows (key, begin, words, seeds): stretches of documents around seeds that pass the bitmap.
 
     ``lengths`` are those of the benchmark texts that are shorter than a mask.
@@ -98,6 +117,7 @@ def document_segments(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = "key binary, begin int, words array<long>, seeds array<struct<place:int,hash:long>>"
     one = np.uint64(1)
+    masks = [*MASKS, *sorted({mask for n in lengths for _, mask in short_masks(n, needed(n, least, similar))})]
 
     def passes(h: np.ndarray) -> np.ndarray:
         bits, low = shared.value, np.uint64((1 << BITS) - 1)
@@ -110,14 +130,10 @@ def document_segments(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
             for part in slices(whole, "text"):
                 _, _, hashes, first = words(*utf8(part.column("text")), hasher)
                 found_at, found = [], []
-                for k in range(len(MASKS)):
-                    seed, at = seeds_of(hashes, first, k)
+                for mask in masks:
+                    seed, at = seeds_of(hashes, first, mask)
                     ok = passes(seed)
                     found_at.append(at[ok]), found.append(seed[ok])
-                for n in lengths:
-                    run, at = runs_of(hashes, first, n)
-                    ok = passes(run)
-                    found_at.append(at[ok]), found.append(run[ok])
                 at, seed = np.concatenate(found_at), np.concatenate(found).view(np.int64)
                 order = np.argsort(at, kind="stable")
                 at, seed = at[order], seed[order]
@@ -142,25 +158,19 @@ def document_segments(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
     return docs.select(F.unhex(F.md5(text_of())).alias("key"), _lowered()).mapInArrow(batches, schema)
 
 
-def runs_of(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of n words on end and their places."""
-    m = len(hashes) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    out = np.full(m, 1000 + n, np.uint64)
-    for j in range(n):
-        out = mix(out * np.uint64(BASE) + hashes[j : m + j])
-    row = np.searchsorted(first, np.arange(m), "right") - 1
-    at = np.flatnonzero(first[1:][row] - np.arange(m) >= n)
-    return out[at], at
+def best_stretch(equal: np.ndarray, similar: float = SIMILAR) -> tuple[int, int]:
+    """Start and end of the stretch with most equal words among those with a share of ``similar`` of them.
 
-
-def best_stretch(equal: np.ndarray) -> tuple[int, int]:
-    """Start and end of the stretch with the largest score along a diagonal."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, MISS))])
-    lowest = np.minimum.accumulate(total)
-    end = int(np.argmax(total - lowest))
-    return int(np.argmin(total[: end + 1])), end
+    A stretch has the share when the sum of equal words less ``similar`` does not fall over it. For each end,
+    the earliest such start holds most equal words; it is the first place where the lowest sum is low enough.
+    """
+    share, n = _share(similar), len(equal)
+    count = np.concatenate([[0], np.cumsum(equal, dtype=np.int64)])
+    total = count * share.denominator - np.arange(n + 1) * share.numerator
+    start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    end = int(np.argmax(count - count[start]))
+    inside = np.flatnonzero(equal[start[end] : end])
+    return (int(start[end] + inside[0]), int(start[end] + inside[-1] + 1)) if len(inside) else (0, 0)
 
 
 def overlaps(segments: DataFrame, items: DataFrame, least: int, similar: float) -> DataFrame:
@@ -183,9 +193,9 @@ def overlaps(segments: DataFrame, items: DataFrame, least: int, similar: float)
                 shift = columns["shift"][i].as_py()
                 a, b = max(0, shift), min(len(doc), len(item) + shift)
                 equal = doc[a:b] == item[a - shift : b - shift]
-                start, end = best_stretch(equal)
+                start, end = best_stretch(equal, similar)
                 n, size = int(equal[start:end].sum()), end - start
-                if size and n >= similar * size and n >= min(least, len(item)):
+                if size and n >= needed(len(item), least, similar):
                     rows["key"].append(columns["key"][i].as_py())
                     rows["item_text"].append(columns["item_text"][i].as_py())
                     rows["start"].append(columns["begin"][i].as_py() + a + start)
@@ -201,11 +211,11 @@ def overlaps(segments: DataFrame, items: DataFrame, least: int, similar: float)
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """Rows (key, item_ids, n_equal) of the distinct texts that overlap the benchmark; key is the md5 of the text."""
-    items = stage(benchmark_words(benchmark), "benchmark-words")
+    items = stage(benchmark_words(benchmark, least, similar), "benchmark-words")
     size = F.size("words")
     lengths = [n for (n,) in items.filter((size >= SHORTEST) & (size < SPAN)).select(size).distinct().collect()]  # four at most
     bitmap = bitmap_of(items.select(F.explode("seeds").alias("s")).select("s.hash"), BITS)
-    segments = stage(document_segments(docs, bitmap, lengths).dropDuplicates(["key", "begin"]), "seed-segments")
+    segments = stage(document_segments(docs, bitmap, lengths, least, similar).dropDuplicates(["key", "begin"]), "seed-segments")
     found = overlaps(segments, items, least, similar)
     ids = items.groupBy("item_text").agg(F.collect_set("item_id").alias("ids"))
     return (
