@@ -176,6 +176,15 @@ def test_line_dedup(spark, docs, none):
     assert got == {1: ([], 0), 2: ([0], 1), 3: ([], 0), 4: ([0], 0)}
 
 
+def test_short_lines_are_cut_too(spark):
+    texts = [(1, "yes\nnineteen letters ab\nno"), (2, "YES\n\nnineteen letters abc"), (3, "no"), (4, "not"), (5, "nineteen letterz aX")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {len(line) for _, t in texts for line in t.split("\n") if "nine" in line} == {19, 20}
+    got = {r["doc_id"]: (r["n_lines"], r["removed"], r["n_near"]) for r in line_dedup.marks(frame).collect()}
+    assert got == {1: (3, [], 0), 2: (2, [0, 2], 1), 3: (1, [0], 0), 4: (1, [], 0), 5: (1, [], 0)}
+    assert ids(line_dedup.dedup_lines(frame).collect()) == [1, 4, 5]
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_edit_distance_in_the_band(tau):
     def distance(a, b):

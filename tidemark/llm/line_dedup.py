@@ -1,13 +1,14 @@
 """Line dedup: an edit-distance join of lines by segment partition.
 
-Lines are lower-cased, white space is collapsed. A line of ``least`` characters or more goes when the
-same line, or one within edit distance ``tau``, stands earlier in the corpus (by doc_id, then place).
+Lines are lower-cased, white space is collapsed. A line goes when the same line stands earlier in the corpus
+(by doc_id, then place), whatever its length, or one within edit distance ``tau`` when the longer of the two has ``near``
+characters or more.
 
 If two strings are within tau edits and the shorter one is cut into tau + 1 segments, one of them is
 found in the longer string, near its own place. So every line is indexed by its segments, and probes
 the indexes of its own length and of up to tau shorter ones with the few substrings that can match.
 
-1. ``live_hashes``: one reading hashes all segments and probes of all lines, in numpy over running sums;
+1. ``live_hashes``: one reading hashes all segments and probes of all lines long enough, in numpy over running sums;
    one shuffle finds the hashes that two different lines share.
 2. ``read``: a second reading keeps (place, id) of every line, and text, segments and probes only of the
    lines that meet a live hash, by a Bloom bitmap of fixed size.
@@ -18,7 +19,7 @@ the indexes of its own length and of up to tau shorter ones with the few substri
 4. ``marks``: a line's first place by a plain aggregate; copies never meet in one task.
 
 A line's id is a 64-bit hash of its characters and length. Defined cases: null texts are empty;
-empty and short lines are always kept; rows with the same id and text are one document and keep the same
+empty lines are always kept; rows with the same id and text are one document and keep the same
 lines; null ids come last; ties in doc_id are ordered by the row's key; a document whose lines all go is
 dropped by ``dedup_lines`` and reported by ``marks``; further columns are kept.
 """
@@ -34,9 +35,11 @@ from .registry import query
 from .support import bitmap_of, row_key, stage, table, text_of
 from .words import Hasher, mix, runs, slices
 
-#: Lines of fewer characters are left alone: short sentences recur without being copies.
-LEAST = 20
+#: Lines of fewer characters are left alone: only empty ones.
+LEAST = 1
 TAU = 2
+#: Two lines are compared by edits when the longer one has so many characters: a few edits make another word of a short one.
+NEAR = 20
 #: Bits of the bitmap of live hashes: 8 MB, whatever their number.
 BITS = 26
 #: Classes of characters that are counted to tell lines apart in the join.
@@ -106,20 +109,23 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.lower(text_of()).alias("text"))
 
 
-def live_hashes(docs: DataFrame, least: int, tau: int) -> DataFrame:
+def live_hashes(docs: DataFrame, near: int, tau: int) -> DataFrame:
     """Hashes that one line has as a segment and another one has too."""
 
     def batches(source):
         hasher = Hasher()
         for whole in source:
             for part in slices(whole, "text"):
-                _, start, length, _, _, sums = lines_of(part, hasher, least)
+                _, start, length, _, _, sums = lines_of(part, hasher, max(1, near - tau))
                 ids = hasher.pieces(sums, start, start + length)
                 ids, first = np.unique(ids, return_index=True)
                 start, length = start[first], length[first]
-                for flag, hashes in ((1, indexed(sums, hasher, start, length, tau)), (0, probes(sums, hasher, start, length, tau))):
+                long = length >= near
+                for flag, which, hashes in (
+                    (1, ids, indexed(sums, hasher, start, length, tau)), (0, ids[long], probes(sums, hasher, start[long], length[long], tau)),
+                ):
                     # the lowest bit of an id says whether the hash is a segment's
-                    value = (ids & ~np.uint64(1)) | np.uint64(flag)
+                    value = (which & ~np.uint64(1)) | np.uint64(flag)
                     for h in hashes:
                         yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(value.view(np.int64))], names=["hash", "value"])
 
@@ -129,7 +135,7 @@ def live_hashes(docs: DataFrame, least: int, tau: int) -> DataFrame:
     return found.filter((F.col("low") != F.col("high")) & (F.col("flags").bitwiseAND(F.lit(1)) == 1)).select("hash")
 
 
-def read(docs: DataFrame, bitmap: np.ndarray, least: int, tau: int) -> DataFrame:
+def read(docs: DataFrame, bitmap: np.ndarray, least: int, tau: int, near_least: int) -> DataFrame:
     """One row per document: its lines as (place, id), and in full those that meet a live hash."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     line = pa.struct([("place", pa.int32()), ("id", pa.int64())])
@@ -151,9 +157,10 @@ def read(docs: DataFrame, bitmap: np.ndarray, least: int, tau: int) -> DataFrame
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lines = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64))], fields=list(line))
                 _, first = np.unique(ids, return_index=True)
+                first = first[length[first] >= max(1, near_least - tau)]
                 own = indexed(sums, hasher, start[first], length[first], tau)
                 probed = probes(sums, hasher, start[first], length[first], tau)
-                own_ok, probed_ok = [passes(h) for h in own], [passes(h) for h in probed]
+                own_ok, probed_ok = [passes(h) for h in own], [passes(h) & (length[first] >= near_least) for h in probed]
                 near = [[] for _ in range(part.num_rows)]
                 for j in np.flatnonzero(np.any(own_ok + probed_ok, axis=0)) if len(first) else ():
                     i = first[j]
@@ -247,10 +254,10 @@ def edit_links(lines: DataFrame, tau: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(batches, "a long, b long")
 
 
-def marks(docs: DataFrame, least: int = LEAST, tau: int = TAU) -> DataFrame:
+def marks(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
     """One row per document: its row key, counts, the places of the lines that go, and where they stand first."""
-    live = live_hashes(docs, least, tau)
-    lines = stage(read(docs, bitmap_of(live, BITS), least, tau), "lines")
+    live = live_hashes(docs, near_least, tau)
+    lines = stage(read(docs, bitmap_of(live, BITS), least, tau, near_least), "lines")
     links = stage(edit_links(lines, tau), "line-links")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
     each = lines.select("doc_id", "row", F.explode("lines").alias("l")).select("doc_id", "row", "l.place", "l.id")
@@ -280,9 +287,9 @@ def marks(docs: DataFrame, least: int = LEAST, tau: int = TAU) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, tau: int = TAU) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
     """The documents without the lines that go, all columns kept; ``n_chars`` follows the text where it exists."""
-    found = stage(marks(docs, least, tau).filter(F.size("removed") > 0).select(F.col("row").alias("_row"), "removed").dropDuplicates(["_row"]), "line-marks")
+    found = stage(marks(docs, least, tau, near_least).filter(F.size("removed") > 0).select(F.col("row").alias("_row"), "removed").dropDuplicates(["_row"]), "line-marks")
     joined = docs.withColumn("_row", row_key()).join(found.withColumnRenamed("removed", "_removed"), "_row", "left")
     kept = F.array_join(F.filter(F.split(text_of(), "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
     cut = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
