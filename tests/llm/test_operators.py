@@ -185,6 +185,18 @@ def test_short_lines_are_cut_too(spark):
     assert ids(line_dedup.dedup_lines(frame).collect()) == [1, 4, 5]
 
 
+def test_line_classes_are_connected(spark, docs, none):
+    base = prose(9, 321)
+    texts = [
+        (1, "first shared line\nabc"), (2, "first shared line\nsecond shared line"), (3, "second shared line"),  # 3 meets 1 over 2
+        (4, base), (5, base + "xy"), (6, base + "xyzz"), (7, base + "xyzzkk"), (8, "alone"), (None, "gone"), (None, "gone\nand more"),
+    ]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r["doc_id"], r["class_id"]) for r in line_dedup.classed(frame).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 4), (8, 8), (None, None), (None, None)], key=str)
+    assert ids(line_dedup.classed(docs).collect()) == ALL and line_dedup.classed(none).count() == 0
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_edit_distance_in_the_band(tau):
     def distance(a, b):

@@ -17,6 +17,8 @@ the indexes of its own length and of up to tau shorter ones with the few substri
    with other words in them does not come out pair by pair. The distinct pairs that are left are verified
    by a banded bit-parallel edit distance, many pairs at a time.
 4. ``marks``: a line's first place by a plain aggregate; copies never meet in one task.
+5. ``classed``: documents that hold the same line or linked lines are of one class, and so are the documents these are
+   of one class with: the connected parts of document - first document of the line - first document of a linked line.
 
 A line's id is a 64-bit hash of its characters and length. Defined cases: null texts are empty;
 empty lines are always kept; rows with the same id and text are one document and keep the same
@@ -31,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .chosen_path import components
 from .registry import query
 from .support import bitmap_of, row_key, stage, table, text_of
 from .words import Hasher, mix, runs, slices
@@ -254,18 +257,20 @@ def edit_links(lines: DataFrame, tau: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(batches, "a long, b long")
 
 
-def marks(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
-    """One row per document: its row key, counts, the places of the lines that go, and where they stand first."""
+def _marks(docs: DataFrame, least: int, tau: int, near_least: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``marks`` with ``heads``, the first documents of a document's repeated lines, and pairs (a, b) of the first documents of linked lines."""
     live = live_hashes(docs, near_least, tau)
     lines = stage(read(docs, bitmap_of(live, BITS), least, tau, near_least), "lines")
     links = stage(edit_links(lines, tau), "line-links")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
     each = lines.select("doc_id", "row", F.explode("lines").alias("l")).select("doc_id", "row", "l.place", "l.id")
     first = each.groupBy("id").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-    both = links.select("a", "b").union(links.select("b", "a"))
+    both = links.union(links.select("b", "a"))
     ids = both.select("a").distinct()
     linked = stage(first.join(ids, F.col("id") == F.col("a"), "left_semi").select("id", "first"), "linked-lines")
     theirs = linked.select(F.col("id").alias("b"), F.col("first").alias("theirs"))
+    head = F.col("first.row")
+    ends = links.join(linked.select(F.col("id").alias("a"), head.alias("x")), "a").join(linked.select(F.col("id").alias("b"), head.alias("y")), "b")
     near = both.join(theirs, "b").groupBy(F.col("a").alias("id")).agg(F.min("theirs").alias("earliest"), F.count(F.lit(1)).alias("n_links"))
     seen = first.join(near, "id", "left").filter((F.col("n") > 1) | F.col("n_links").isNotNull())
     seen = seen.select("id", "first", "n_links", F.when(F.col("earliest") < F.col("first"), F.col("earliest")).alias("earlier"))
@@ -279,12 +284,31 @@ def marks(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int =
         F.aggregate(
             F.collect_set(F.when(F.col("n_links").isNotNull(), F.struct("place", "n_links"))), F.lit(0).cast("long"), lambda total, x: total + x["n_links"]
         ).alias("n_links"),
+        F.collect_set(F.when(F.col("row") != head, head)).alias("heads"),
     )
-    return lines.select("doc_id", "row", F.size("lines").alias("n_lines")).join(per_row, "row", "left").select(
+    rows = lines.select("doc_id", "row", F.size("lines").alias("n_lines")).join(per_row, "row", "left").select(
         "doc_id", "row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
         F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("heads", F.array().cast("array<binary>")).alias("heads"),
     )
+    return rows, ends.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def marks(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
+    """One row per document: its row key, counts, the places of the lines that go, and where they stand first."""
+    return _marks(docs, least, tau, near_least)[0].drop("heads")
+
+
+def classed(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
+    """The rows of ``marks`` with class_id, the smallest doc_id that is reached over shared and linked lines."""
+    rows, ends = _marks(docs, least, tau, near_least)
+    rows = stage(rows, "line-marks")
+    labels = components(rows.select(F.col("row").alias("a"), F.explode("heads").alias("b")).union(ends)).withColumnRenamed("key", "row")
+    named = stage(rows.drop("heads").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "line-classes")
+    heads = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("head"))
+    return named.join(heads, "label").withColumn("class_id", F.col("head.doc_id")).drop("label", "head")
+
+
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
@@ -302,7 +326,6 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least:
 
 @query("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marks(table(spark, sf_dir, "documents")).select(
-        "doc_id", F.element_at(F.array_sort(F.concat("first_docs", F.array("doc_id"))), 1).alias("class_id"), "n_lines",
-        F.size("removed").alias("n_removed"), "n_near", "n_links", "removed", "first_docs",
+    return classed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_lines", F.size("removed").alias("n_removed"), "n_near", "n_links", "removed", "first_docs",
     )
