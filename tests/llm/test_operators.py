@@ -164,6 +164,24 @@ def test_quality_rules(spark, docs, none):
     assert rows[51]["n_repeat_words"] == 10
 
 
+@pytest.mark.parametrize("times", [1, 4])
+def test_frequent_lines_leave_the_texts_at_every_size(spark, times):
+    n = 20 * times
+    rows = [(i, f"Shared  LINE here\n\n{prose(30, 800 + i)}" + ("\nshared line here" if i % 2 else ""), None if i < n // 2 else "s", 0) for i in range(n)]
+    rows += [(n, "shared line here", "other", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = {r["doc_id"]: r for r in line_rules.without_frequent(frame, share=0.4).collect()}
+    verdicts = {r["doc_id"]: r for r in line_rules.quality_rules(frame, share=0.4).collect()}
+    for d, t, _, _ in rows:
+        first = d in (0, n // 2, n)
+        assert out[d]["text"] == (t if first else "\n" + prose(30, 800 + d))
+        assert first or out[d]["n_chars"] == len(out[d]["text"])
+        assert verdicts[d]["n_words"] - verdicts[d]["n_cut_words"] == len(out[d]["text"].split())
+    assert line_rules.without_frequent(frame.limit(0)).count() == 0
+    same = {r["doc_id"]: r["text"] for r in line_rules.without_frequent(frame).collect()}  # 100 texts are not reached
+    assert same == {d: t for d, t, _, _ in rows}
+
+
 def test_line_dedup(spark, docs, none):
     rows = {r["doc_id"]: r for r in line_dedup.marks(docs).collect()}
     assert rows[1]["removed"] == [] and rows[2]["removed"] == [0] and rows[5]["removed"] == [0] and rows[5]["first_docs"] == [4]

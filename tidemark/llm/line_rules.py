@@ -4,6 +4,8 @@ Lines are lower-cased, white space is collapsed, and the result is hashed. For e
 distinct documents are counted; copies of a whole text count once, so a document is not rejected for
 having been copied. Lines above the limit are boilerplate: they are removed from all documents but the
 first that holds them, and a document that keeps less than ``least_kept`` of its words is rejected.
+``without_frequent`` returns the texts without these lines, from the same places that ``quality_rules`` counts.
+The limit is a number of texts, or with ``share`` that share of a host's distinct texts and ``LEAST_TEXTS`` at least.
 
 A document hands on each of its lines once, and counts are added up before the shuffle, so a line in a
 third of all documents is a number per task. The join back spreads each frequent line over ``SALTS``.
@@ -22,13 +24,15 @@ from .support import row_key, stage, table, text_of
 
 #: A line is boilerplate in a host when more than this many distinct texts hold it.
 LIMIT = 100
+#: With a limit as a share of the host's texts: a line in this many texts or fewer always stays.
+LEAST_TEXTS = 5
 #: Least share of a document's words that must stay.
 LEAST_KEPT = 0.3
 #: Rows that a frequent line is spread over in the join back.
 SALTS = 32
 # fixed values of the contract
 WINDOW, REPEAT_SHARE, LEAST_WORDS, SYMBOLS = 5, 20, 10, "#*$%&|<>"
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE, WITH_WORDS = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: Column) -> Column:
@@ -63,14 +67,25 @@ def with_repeats(df: DataFrame) -> DataFrame:
     return two.withColumn("n_repeat_words", F.coalesce(total, F.lit(0).cast("long"))).drop("pairs", "spots", "hashes")
 
 
+def lines_in(text: Column) -> Column:
+    """The lines of a text that have words."""
+    return F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(WITH_WORDS)))
+
+
+def line_hash(line: Column) -> Column:
+    return F.xxhash64(normal(line))
+
+
+def normal(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+
+
 def base_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """Base columns of each document and its lines as (hash, words), each once."""
     text = text_of()
     rows = docs.select(F.col("doc_id").cast("long"), F.col(host).alias("host"), row_key().alias("key"), text.alias("text"))
     rows = rows.withColumn("words", words_of(F.col("text")))
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
-    normal = lambda line: F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
-    rows = rows.withColumn("lines", lines)
+    rows = rows.withColumn("lines", lines_in(F.col("text")))
     size = lambda line: F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
     marked = F.transform(F.transform("lines", normal), lambda line: F.struct(F.xxhash64(line).alias("h"), size(line).cast("long").alias("n")))
     found = rows.select(
@@ -85,29 +100,58 @@ def base_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, limit: int) -> DataFrame:
+def frequent_lines(lines: DataFrame, limit: int, share: float | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Lines (host, h) in more than ``limit`` distinct texts of a host, with the first document that holds each.
 
     ``lines`` has a row per distinct text, host and line, so a plain count that combines before the
-    shuffle counts distinct texts.
+    shuffle counts distinct texts. With ``share`` the limit is that share of the host's rows in ``texts``.
     """
-    return lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first")).filter(F.col("n_docs") > limit)
+    counted = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"))
+    if share is None:
+        return counted.filter(F.col("n_docs") > limit)
+    hosts = texts.groupBy(F.col("host").alias("its_host")).agg(F.greatest(F.lit(float(LEAST_TEXTS)), F.lit(share) * F.count(F.lit(1))).alias("most"))
+    return counted.join(hosts, F.col("host").eqNullSafe(F.col("its_host"))).filter(F.col("n_docs") > F.col("most")).drop("its_host", "most")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", limit: int = LIMIT, least_kept: float = LEAST_KEPT) -> DataFrame:
-    seen = stage(base_rules(docs, host), "line-rules")
+def cut_lines(seen: DataFrame, limit: int, share: float | None) -> DataFrame:
+    """Rows (cut_host, cut_key, cut, n_cut_words, n_cut_lines): the hashes of the lines that a document loses, and their counts."""
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     texts = seen.groupBy("host", "content").agg(F.min_by("marked", rank).alias("marked"), F.min(rank).alias("first"))
     distinct = texts.select("host", "first", F.explode(F.array_distinct(F.transform("marked", lambda m: m["h"]))).alias("h"))
-    frequent = frequent_lines(distinct, limit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    frequent = frequent_lines(distinct, limit, share, texts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
     # all places of a line in a document count against it, so equal lines are added up, not dropped
     held = seen.dropDuplicates(["host", "key"]).select("host", "key", "doc_id", salt.alias("salt"), F.explode("marked").alias("m"))
     held = held.select("host", "key", "doc_id", "salt", "m.h", "m.n")
     same = (held["h"] == frequent["h"]) & (held["salt"] == frequent["salt"]) & held["host"].eqNullSafe(frequent["host"])
     cut = held.join(frequent, same).filter(held["key"] != frequent["first"]["key"])
-    lost = cut.groupBy(held["host"], held["key"]).agg(F.sum(held["n"]).alias("n_cut_words"), F.count(F.lit(1)).alias("n_cut_lines"))
-    lost = lost.withColumnsRenamed({"host": "cut_host", "key": "cut_key"})
+    lost = cut.groupBy(held["host"], held["key"]).agg(
+        F.collect_set(held["h"]).alias("cut"), F.sum(held["n"]).alias("n_cut_words"), F.count(F.lit(1)).alias("n_cut_lines")
+    )
+    return lost.withColumnsRenamed({"host": "cut_host", "key": "cut_key"})
+
+
+def without_frequent(docs: DataFrame, host: str = "source", limit: int = LIMIT, share: float | None = None) -> DataFrame:
+    """The documents without their frequent lines, all columns kept; ``n_chars`` follows the text where it exists.
+
+    Every document stays; ``quality_rules`` says which ones are rejected.
+    """
+    lost = stage(cut_lines(stage(base_rules(docs, host), "line-rules"), limit, share).select("cut_host", "cut_key", "cut"), "cut-lines")
+    keyed = docs.withColumn("_key", row_key())
+    joined = keyed.join(lost, (F.col("_key") == F.col("cut_key")) & F.col(host).eqNullSafe(F.col("cut_host")), "left")
+    stays = lambda line: ~F.rlike(line, F.lit(WITH_WORDS)) | ~F.array_contains("cut", line_hash(line))
+    touched = F.col("cut").isNotNull()
+    out = joined.withColumn("text", F.when(touched, F.array_join(F.filter(F.split(text_of(), "\n"), stays), "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def quality_rules(
+    docs: DataFrame, host: str = "source", limit: int = LIMIT, least_kept: float = LEAST_KEPT, share: float | None = None
+) -> DataFrame:
+    seen = stage(base_rules(docs, host), "line-rules")
+    lost = cut_lines(seen, limit, share).drop("cut")
     left = seen.join(lost, (seen["key"] == lost["cut_key"]) & seen["host"].eqNullSafe(lost["cut_host"]), "left")
     n_cut = F.coalesce("n_cut_words", F.lit(0))
     depleted = F.col("n_words") - n_cut < F.lit(least_kept) * F.col("n_words")
