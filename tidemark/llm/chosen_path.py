@@ -6,8 +6,8 @@ coordinate equals for two sets with the probability of their Jaccard similarity)
 1. ``buckets``: in each run all sets start in one node. A node samples one coordinate, a second one
    with probability 1/4 (1 / 0.8 on average), and deals its sets by their value there. Nodes of one
    set die. Nodes of at most ``BUCKET`` sets are done; larger ones are dealt again, up to ``DEPTH``
-   times; what is still larger then is compared in blocks. Runs are independent, and their number
-   follows from the target recall.
+   times; what is still larger then is compared in blocks. Runs sample the same coordinates, and their
+   number follows from the target recall for nodes done after two deals; deeper ones have less (see README).
 2. ``compared``: all pairs of a done node are compared by their vectors inside the task; only a
    spanning tree of the similar ones leaves it. Connected trees make a cluster.
 3. ``links``: texts of a cluster are compared exactly by their shingle sets, large clusters in pairs of
@@ -42,7 +42,7 @@ BUCKET = 96
 #: Sets in a block of a group that is larger than that and is not dealt further.
 BLOCK = 512
 DEPTH = 6
-#: A pair at the threshold shares one node at least with this probability.
+#: A pair at the threshold shares one node at least with this probability, when nodes are done after two deals.
 RECALL = 0.9999
 #: Shared coordinates that send a pair to the exact comparison: four deviations below the threshold.
 SKETCHED = SIMILAR - 4 * math.sqrt(SIMILAR * (1 - SIMILAR) / COORDINATES)
