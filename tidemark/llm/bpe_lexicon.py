@@ -70,7 +70,8 @@ class Rules:
         self.inner = [self.vocab[x] for x in letters]
         self.final = [self.vocab[x + self.suffix] for x in letters]
         self.first_ids = np.array(self.inner), np.array(self.final)
-        found = sorted((a * 65536 + b, rank) for (a, b), (rank, _) in self.merges.items())
+        self.width = 1 + max(self.token)
+        found = sorted((a * self.width + b, rank) for (a, b), (rank, _) in self.merges.items())
         by_rank = np.zeros(len(pairs), np.int64)
         for rank, new in self.merges.values():
             by_rank[rank] = new
@@ -141,7 +142,7 @@ class Rules:
         none = np.int64(len(by_rank))
 
         def ranks(left, right):
-            key = left * 65536 + right
+            key = left * self.width + right
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             return np.where(keys[at] == key, key_ranks[at], none)
 
@@ -312,7 +313,7 @@ def _rules(name: str) -> Rules:
         with open(SparkFiles.get(name), encoding="utf-8") as f:
             return Rules(f.read())
 
-    return worker_cache(("rules", name), make)
+    return worker_cache("rules", name, make)
 
 
 def _ship_tokenizer(spark: SparkSession, path: str) -> str:
@@ -405,7 +406,7 @@ def encode(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORDS, keep
 
     def batches(source):
         rules = _rules(tokenizer)
-        store = worker_cache(("words", tokenizer, lexicon), lambda: Words(rules, mapped(SparkFiles.get(lexicon))))
+        store = worker_cache("words", (tokenizer, lexicon), lambda: Words(rules, mapped(SparkFiles.get(lexicon))))
         for whole in source:
             for part in slices(whole, "text"):
                 texts = [rules.words(t or "") for t in part.column("text").to_pylist()]

@@ -27,13 +27,17 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text_of(text_col))))
 
 
-def worker_cache(key, make):
-    """A value kept by a Python worker from task to task; functions that travel by value have no globals that stay."""
+def worker_cache(kind: str, key, make):
+    """A value kept by a Python worker from task to task; functions that travel by value have no globals that stay.
+
+    A worker keeps one value of each kind: another key replaces it, so its memory does not grow with the calls.
+    """
     module = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
     held = module.__dict__.setdefault("held", {})
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if kind not in held or held[kind][0] != key:
+        held.pop(kind, None)
+        held[kind] = key, make()
+    return held[kind][1]
 
 
 def shared_file(spark: SparkSession, name: str, content: bytes) -> str:
