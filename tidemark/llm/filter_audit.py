@@ -161,8 +161,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
-         list_filter(string_split_regex(coalesce(text, ''), '[ 	-
-]+'), x -> x <> '') AS w
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
 marks AS (SELECT doc_id, max(coalesce(quality = 1, false)::int) AS good, max(coalesce(toxic = 1, false)::int) AS toxic FROM labels GROUP BY doc_id),
@@ -181,7 +180,7 @@ orders AS (
 steps AS (SELECT o, filter_order, i AS step, o[i] AS own, o[1:i - 1] AS earlier FROM orders, letters),
 marked AS (
   SELECT s.filter_order, s.step, s.own, c.part, c.n, c.good, c.toxic, c.f[s.own] AS fails_own,
-    len([e FOR e IN s.earlier IF c.f[e]]) > 0 AS gone, len([x FOR x IN c.f IF x]) AS n_fails
+    len(list_filter(s.earlier, lambda e: c.f[e])) > 0 AS gone, len(list_filter(c.f, lambda x: x)) AS n_fails
   FROM steps s, cells c),
 counted AS (
   SELECT part, filter_order, step, own,
