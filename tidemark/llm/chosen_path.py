@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .registry import query
-from .support import bitmap_of, row_key, stage, table, text_of
+from .support import bitmap_of, row_key, stage, table, text_of, unused
 from .words import Hasher, shingles, slices, utf8, words
 
 WORDS, SIMILAR = 5, 0.8
 COORDINATES = 64
 #: Sets that are compared pair by pair in one place.
 BUCKET = 96
-#: Sets in a block of a group that is larger than that and is not dealt further.
-BLOCK = 512
+#: Sets in a block of a group that is larger than that and is not dealt further, and shingles in a block.
+BLOCK, BLOCK_GRAMS = 512, 1 << 19
 DEPTH = 6
 #: A pair at the threshold shares one node at least with this probability, when nodes are done after two deals.
 RECALL = 0.9999
@@ -115,12 +115,15 @@ def buckets(sets: DataFrame, runs: int) -> DataFrame:
     return done.unionByName(in_blocks(rows, "node", BLOCK).select("node", "key", "sketch"))
 
 
-def in_blocks(rows: DataFrame, group: str, most: int) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, most: int, most_weight: int | None = None) -> DataFrame:
     """Split groups of ``size`` rows into blocks of about ``most`` and give each pair of blocks a group of its own.
 
-    Adds first and second block and the row's own; the pair of a block with itself stands for its inside.
+    Where rows have a ``weight``, as the group's total, blocks hold about ``most_weight`` of it. Adds first
+    and second block and the row's own; the pair of a block with itself stands for its inside.
     """
     count = F.ceil(F.col("size") / F.lit(most)).cast("int")
+    if most_weight:
+        count = F.greatest(count, F.ceil(F.col("weight") / F.lit(most_weight)).cast("int"))
     own = F.pmod(F.xxhash64("key", F.lit("block")), count).cast("int")
     pair = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("low"), F.greatest(b, F.col("own")).alias("high")))
     spread = rows.withColumn("own", own).select("*", F.explode(pair).alias("p"))
@@ -254,9 +257,9 @@ def links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     ``sets`` has label, key and grams.
     """
-    size = sets.select("label").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    size = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum(F.size("grams")).alias("weight"))
     sized = sets.join(size, "label").withColumn("node", F.xxhash64("label"))
-    blocks = in_blocks(sized, "node", BLOCK).select("node", "key", "grams", "own", "low", "high")
+    blocks = in_blocks(sized, "node", BLOCK, BLOCK_GRAMS).select("node", "key", "grams", "own", "low", "high")
 
     def batches(source):
         for batch in _groups(source, "node"):
@@ -305,8 +308,9 @@ def classes(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """The first document of each class, all columns kept."""
-    heads = stage(classes(docs, similar, recall).select(F.col("first").alias("_row")).distinct(), "class-heads")
-    return docs.withColumn("_row", row_key()).join(heads, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    key = unused(docs, "row")
+    heads = stage(classes(docs, similar, recall).select(F.col("first").alias(key)).distinct(), "class-heads")
+    return docs.withColumn(key, row_key()).join(heads, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 @query("op9_chosen_path")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .chosen_path import components
 from .registry import query
-from .support import bitmap_of, row_key, stage, table, text_of
+from .support import bitmap_of, row_key, stage, table, text_of, unused
 from .words import Hasher, mix, runs, slices
 
 #: Lines of fewer characters are left alone: only empty ones.
@@ -311,16 +311,26 @@ def classed(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int
 
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
-    """The documents without the lines that go, all columns kept; ``n_chars`` follows the text where it exists."""
-    found = stage(marks(docs, least, tau, near_least).filter(F.size("removed") > 0).select(F.col("row").alias("_row"), "removed").dropDuplicates(["_row"]), "line-marks")
-    joined = docs.withColumn("_row", row_key()).join(found.withColumnRenamed("removed", "_removed"), "_row", "left")
-    kept = F.array_join(F.filter(F.split(text_of(), "\n"), lambda line, i: ~F.array_contains("_removed", i)), "\n")
-    cut = joined.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
-    cut = cut.filter(F.col("_removed").isNull() | (F.trim("text") != ""))
+def dedup_lines(
+    docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR, least_kept: float = 0.0
+) -> DataFrame:
+    """The documents without the lines that go, all columns kept; ``n_chars`` follows the text where it exists.
+
+    Documents left empty go, and so do those of which less than ``least_kept`` of the characters is left:
+    the rest of a near copy is of no use, and no later stage would know it as a copy.
+    """
+    key, lost = unused(docs, "row"), unused(docs, "removed")
+    found = marks(docs, least, tau, near_least).filter(F.size("removed") > 0).select(F.col("row").alias(key), F.col("removed").alias(lost))
+    found = stage(found.dropDuplicates([key]), "line-marks")
+    joined = docs.withColumn(key, row_key()).join(found, key, "left")
+    kept = F.array_join(F.filter(F.split(text_of(), "\n"), lambda line, i: ~F.array_contains(lost, i)), "\n")
+    size = unused(docs, "size")
+    cut = joined.withColumn(size, F.length(text_of())).withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept))
+    enough = F.length("text") >= F.lit(float(least_kept)) * F.col(size)
+    cut = cut.filter(F.col(lost).isNull() | ((F.trim("text") != "") & enough))
     if "n_chars" in docs.columns:
-        size = F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
-        cut = cut.withColumn("n_chars", size)
+        n_chars = F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", n_chars)
     return cut.select(*docs.columns)
 
 

@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .registry import query
-from .support import row_key, stage, table, text_of
+from .support import row_key, stage, table, text_of, unused
 
 #: A line is boilerplate in a host when more than this many distinct texts hold it.
 LIMIT = 100
 #: With a limit as a share of the host's texts: a line in this many texts or fewer always stays.
 LEAST_TEXTS = 5
+#: The query's limit: a line in more than this share of a host's distinct texts is boilerplate, at every size.
+SHARE = 0.02
 #: Least share of a document's words that must stay.
 LEAST_KEPT = 0.3
 #: Rows that a frequent line is spread over in the join back.
@@ -136,11 +138,13 @@ def without_frequent(docs: DataFrame, host: str = "source", limit: int = LIMIT,
 
     Every document stays; ``quality_rules`` says which ones are rejected.
     """
-    lost = stage(cut_lines(stage(base_rules(docs, host), "line-rules"), limit, share).select("cut_host", "cut_key", "cut"), "cut-lines")
-    keyed = docs.withColumn("_key", row_key())
-    joined = keyed.join(lost, (F.col("_key") == F.col("cut_key")) & F.col(host).eqNullSafe(F.col("cut_host")), "left")
-    stays = lambda line: ~F.rlike(line, F.lit(WITH_WORDS)) | ~F.array_contains("cut", line_hash(line))
-    touched = F.col("cut").isNotNull()
+    key, its_host, its_key, cut = (unused(docs, c) for c in ("key", "cut_host", "cut_key", "cut"))
+    lost = cut_lines(stage(base_rules(docs, host), "line-rules"), limit, share)
+    lost = stage(lost.select(F.col("cut_host").alias(its_host), F.col("cut_key").alias(its_key), F.col("cut").alias(cut)), "cut-lines")
+    keyed = docs.withColumn(key, row_key())
+    joined = keyed.join(lost, (F.col(key) == F.col(its_key)) & F.col(host).eqNullSafe(F.col(its_host)), "left")
+    stays = lambda line: ~F.rlike(line, F.lit(WITH_WORDS)) | ~F.array_contains(cut, line_hash(line))
+    touched = F.col(cut).isNotNull()
     out = joined.withColumn("text", F.when(touched, F.array_join(F.filter(F.split(text_of(), "\n"), stays), "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(touched, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -171,7 +175,8 @@ grams AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM win),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_rep FROM again, range(0, 5) r(k) GROUP BY doc_id),
 texts AS (SELECT host, text, min(doc_id) AS first FROM d GROUP BY host, text),
-freq AS (SELECT host, norm, min(first) AS first FROM (SELECT DISTINCT host, text, first, norm FROM real JOIN texts USING (host, text)) GROUP BY host, norm HAVING count(*) > {LIMIT}),
+hosts AS (SELECT host, greatest({float(LEAST_TEXTS)}, {SHARE} * count(*)) AS most FROM texts GROUP BY host),
+freq AS (SELECT host, norm, min(first) AS first FROM (SELECT DISTINCT host, text, first, norm FROM real JOIN texts USING (host, text)) JOIN hosts USING (host) GROUP BY host, norm, most HAVING count(*) > most),
 lost AS (SELECT r.doc_id, sum(len(string_split(r.norm, ' ')))::BIGINT AS n_cut_words, count(*) AS n_cut_lines FROM real r JOIN freq f ON r.host = f.host AND r.norm = f.norm AND r.doc_id <> f.first GROUP BY r.doc_id),
 b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words,
@@ -183,4 +188,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 @query("op8_line_rules", _SQL)
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(table(spark, sf_dir, "documents"), share=SHARE)

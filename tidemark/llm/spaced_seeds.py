@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .registry import query
-from .support import bitmap_of, stage, table, text_of
+from .support import bitmap_of, stage, table, text_of, unused
 from .words import BASE, Hasher, mix, slices, utf8, words
 
 #: Fixed masks: x counts, - is ignored. Nine words, six or seven of which count.
@@ -226,8 +226,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, simi
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """The documents without overlap, all columns kept."""
-    found = stage(contaminated(docs, benchmark, least, similar).select(F.col("key").alias("_found")), "contaminated")
-    return docs.join(found, F.unhex(F.md5(text_of())) == F.col("_found"), "left_anti")
+    key = unused(docs, "found")
+    found = stage(contaminated(docs, benchmark, least, similar).select(F.col("key").alias(key)), "contaminated")
+    return docs.join(found, F.unhex(F.md5(text_of())) == F.col(key), "left_anti")
 
 
 @query("op10_spaced_seeds")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark.session import stage, staging_root
 
-__all__ = ["table", "text_of", "row_key", "worker_cache", "shared_file", "bitmap_of", "stage", "bit_slots"]
+__all__ = ["table", "text_of", "row_key", "worker_cache", "shared_file", "bitmap_of", "stage", "bit_slots", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), text_of(text_col))))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that the table does not have; names differ by more than case."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def worker_cache(kind: str, key, make):
     """A value kept by a Python worker from task to task; functions that travel by value have no globals that stay.
 
