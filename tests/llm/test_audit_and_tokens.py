@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tidemark.llm import byte_transducer, filter_audit, token_alignment
+from tidemark.llm import byte_transducer, chosen_path, filter_audit, line_dedup, line_rules, spaced_seeds, token_alignment
 from tidemark.llm.bpe_lexicon import byte_letters
 
 SCHEMA = "doc_id long, text string, lang string, part string, mask int, row long, pairs string, digest string"
@@ -243,3 +243,34 @@ def test_gallop_equals_search():
     for n, m, top in [(0, 5, 9), (5, 0, 9), (1, 1, 2), (300, 20, 500), (20, 3000, 5000), (900, 950, 1000), (5000, 5000, 1 << 40)]:
         a, b = np.unique(r.integers(0, top, n)), np.unique(r.integers(0, top, m))
         assert (token_alignment.gallop(a, b) == np.searchsorted(b, a)).all()
+
+
+CLASHING = "doc_id long, text string, source string, key string, row string, removed int, found int, cut int, cut_host int, cut_key int, _row int"
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    shared = "the very same line stands in all of these texts"
+    rows = [(i, f"{shared}\n{prose(40, 50 + i)}", "s", "k", "r", 1, 2, 3, 4, 5, 6) for i in range(8)] + [(9, None, None, *[None] * 8)]
+    docs = spark.createDataFrame(rows, CLASHING)
+    bench = spark.createDataFrame([(1, prose(40, 53))], "item_id long, text string")
+    for out in (
+        line_dedup.dedup_lines(docs), line_rules.without_frequent(docs, share=0.1), spaced_seeds.clean(docs, bench), chosen_path.keep_one(docs),
+    ):
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert out.columns == docs.columns and got[0][3:] == rows[0][3:]
+    assert 3 not in {r["doc_id"] for r in spaced_seeds.clean(docs, bench).collect()}
+
+
+def test_blocks_by_weight_lose_no_link(spark, monkeypatch):
+    texts = [prose(60, 4) + " " + " ".join(prose(1, 900 + i) for _ in range(i % 4)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = sorted(map(tuple, chosen_path.classes(docs).select("doc_id", "class_id", "n_links").collect()))
+    monkeypatch.setattr(chosen_path, "BLOCK_GRAMS", 300)
+    assert sorted(map(tuple, chosen_path.classes(docs).select("doc_id", "class_id", "n_links").collect())) == whole
+
+
+def test_line_dedup_drops_what_is_left_of_a_copy(spark):
+    body = "\n".join(prose(12, 70 + i) for i in range(9))
+    docs = spark.createDataFrame([(1, body), (2, body + "\nnew"), (3, body + "\n" + prose(200, 80))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in line_dedup.dedup_lines(docs).collect()) == [1, 2, 3]
+    assert sorted(r["doc_id"] for r in line_dedup.dedup_lines(docs, least_kept=0.2).collect()) == [1, 3]
