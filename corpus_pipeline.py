@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bpe_lexicon, chosen_path, line_dedup, quality_qda, spaced_seeds
 from tidemark.llm.support import stage, table
 
+#: Share of its characters that a document must keep when repeated lines are cut.
+LEAST_KEPT = 0.2
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the cut go."""
@@ -17,8 +20,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier, the same or within two edits, are cut; documents left empty by that go."""
-    return line_dedup.dedup_lines(docs)
+    """Lines that stand earlier, the same or within two edits, are cut; so are documents with little else.
+
+    What is left of a near copy once its equal lines are gone resembles nothing, so it goes here: a document
+    that keeps less than a fifth of its characters is a copy of earlier text.
+    """
+    return line_dedup.dedup_lines(docs, least_kept=LEAST_KEPT)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
