@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fixed import FALLBACK_MODEL, MAX_HORIZON, MODELS
 from ..functions.periods import calendar_columns, lag_set, season_length
@@ -16,6 +16,7 @@ from ..operators import intervals as I
 from ..operators import learners as G
 from ..operators import metrics as M
 from ..operators import profiles as R
+from ..operators.ridge import TrainingSet, fit_ridge
 from ..operators.statistical import STATISTICAL, spread
 from ..session import stage
 
@@ -85,7 +86,10 @@ def _learner_records(
     panel: DataFrame, future: DataFrame, fold_rows: list, settings: Settings,
     fold_hist: DataFrame, final_hist: DataFrame,
 ) -> tuple[DataFrame | None, DataFrame | None, dict, DataFrame | None]:
-    """Backtest and final predictions of the learners; features are computed once for all folds."""
+    """Backtest and final predictions of the learners; features are computed once for all folds.
+
+    Ridge is fitted for all folds and for the final origin from one scan of the frame.
+    """
     names = settings.learner_names
     if names and not fold_rows:
         raise ValueError("the history is too short to validate")
@@ -104,25 +108,39 @@ def _learner_records(
     def usable(lags: list[int]) -> DataFrame:
         return frame.drop(*[f"lag_{k}" for k in every if k not in lags])
 
-    def training(lags: list[int]) -> DataFrame:
-        return usable(lags).filter(F.col("y").isNotNull() & (F.col("origin_idx") >= max([*lags, 3])))
+    def labelled(lags: list[int]) -> Column:
+        return F.col("y").isNotNull() & (F.col("origin_idx") >= max([*lags, 3]))
 
     # an origin needs at least one earlier value
     started = F.col("lag_1").isNotNull()
     season, made = season_length(settings.freq), []
+    to_fit = {0: labelled(all_lags[0])}
+    to_predict = {0: F.col("origin_y").isNull() & started}
+    lags_of = {0: all_lags[0]}
     for fold, lags in zip(fold_rows, all_lags[1:]):
-        start, end = F.lit(fold["val_start"]), F.lit(fold["val_end"])
-        train = training(lags).filter((F.col("ts") < start) & (F.col("forecast_step") <= fold["fold_h"]))
-        valid = usable(lags).filter((F.col("origin_ts") == start) & (F.col("ts") <= end) & F.col("y").isNotNull() & started)
-        models = G.fit_global(train, settings.profile, names)
-        number = int(fold["fold"])
+        start, end, number = F.lit(fold["val_start"]), F.lit(fold["val_end"]), int(fold["fold"])
+        to_fit[number] = labelled(lags) & (F.col("ts") < start) & (F.col("forecast_step") <= fold["fold_h"])
+        to_predict[number] = (F.col("origin_ts") == start) & (F.col("ts") <= end) & F.col("y").isNotNull() & started
+        lags_of[number] = lags
+    linear = {}
+    if G.RIDGE in names:
+        linear = fit_ridge(frame, {
+            f: TrainingSet(to_fit[f], to_predict[f], [c for part in G.feature_columns(usable(lags_of[f])) for c in part]) for f in to_fit
+        })
+    others = [n for n in names if n != G.RIDGE]
+
+    def models_of(f: int) -> dict:
+        fitted = {G.RIDGE: linear[f]} if f in linear else {}
+        return {**fitted, **(G.fit_global(usable(lags_of[f]).filter(to_fit[f]), settings.profile, others) if others else {})}
+
+    for number in (f for f in to_fit if f):
+        models = models_of(number)
         if models:
-            made.append(G.predict_global(models, valid).withColumn("fold", F.lit(number)))
+            made.append(G.predict_global(models, usable(lags_of[number]).filter(to_predict[number])).withColumn("fold", F.lit(number)))
         made.append(_stand_ins(fold_hist.filter(F.col("fold") == number), names, models, season))
-    train = training(all_lags[0])
-    final = G.fit_global(train, settings.profile, names)
-    origin = usable(all_lags[0]).filter(F.col("origin_y").isNull() & started)
-    ahead = [G.predict_global(final, origin).withColumn("fold", F.lit(0)) if final else None]
+    train = usable(all_lags[0]).filter(to_fit[0])
+    final = models_of(0)
+    ahead = [G.predict_global(final, usable(all_lags[0]).filter(to_predict[0])).withColumn("fold", F.lit(0)) if final else None]
     ahead.append(_stand_ins(final_hist, names, final, season))
     return _union(made), _union(ahead), final, train
 
