@@ -95,7 +95,13 @@ def _(spark, d):
 
 @query("boosted_trees")
 def _(spark, d):
-    return _learned(spark, d, ["Histogram gradient boosting"], panel=P.brand_panel)[2]
+    return _learned(spark, d, ["Histogram gradient boosting"])[2]
+
+
+@query("boosted_shallow")
+def _(spark, d):
+    """Trees of depth five on nine tenths of the columns each."""
+    return _learned(spark, d, ["LightGBM + drivers"])[2]
 
 
 @query("forest")
@@ -115,5 +121,5 @@ def _(spark, d):
     panel = stage(P.brand_panel(spark, d).select("item_id", "ts", "target", "l_discount", "l_returnflag"), "panel")
     drivers = ["l_discount", "l_returnflag"]
     ahead = U.future_covariates(panel, drivers=drivers, policy="carry", calendar=False)
-    run = forecast_run(panel, ahead, Settings(profile="fast", drivers=drivers, learners=["Ridge + drivers"]))
+    run = forecast_run(panel, ahead, Settings(profile="fast", drivers=drivers))
     return run.forecast
