@@ -106,7 +106,7 @@ def _(spark, d):
 
 @query("forest")
 def _(spark, d):
-    return _learned(spark, d, ["Random forest", "Extra trees"], "deep", P.brand_panel)[2]
+    return _learned(spark, d, ["Random forest", "Extra trees"], "deep")[2]
 
 
 @query("importance")
