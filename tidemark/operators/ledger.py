@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.fixed import EVIDENCE_STATES, LOCKED_STATES, PLAN_STATES, PLAN_TRANSITIONS
 
@@ -135,6 +135,64 @@ def audit_overrides(overrides: DataFrame, plans: DataFrame, forecast: DataFrame
     return rows.select(*overrides.columns, reason.alias("rejected"))
 
 
+def state_at(log: DataFrame, audit: DataFrame, out: str = "status_at") -> DataFrame:
+    """Rows of a log of plans with the state of their plan at their time ``at``: an as-of join of two logs.
+
+    ``audit`` carries ``at``; its last accepted change at or before a row's time counts, of equal times the
+    one with the highest number, and a plan without one is a draft. Both logs are cut into days: what a
+    day starts from is found over one row per day, and rows meet changes of their own day only, so a busy
+    plan is spread over as many places as it has days.
+    """
+    day = lambda c: F.date_trunc("day", F.col(c).cast("timestamp"))
+    changes = audit.filter("valid").select(
+        "plan_id", day("at").alias("__day"), F.struct(F.col("at").cast("timestamp").alias("at"), "seq", "status").alias("change")
+    )
+    by_day = changes.groupBy("plan_id", "__day").agg(
+        F.array_sort(F.collect_list("change")).alias("changes"), F.max("change").alias("last")
+    )
+    # days of the log and days with changes, so that every day knows the last change before it
+    days = log.select("plan_id", day("at").alias("__day")).distinct().withColumn("asked", F.lit(True))
+    both = by_day.join(days, ["plan_id", "__day"], "full")
+    before = W.partitionBy("plan_id").orderBy("__day").rowsBetween(W.unboundedPreceding, -1)
+    known = both.withColumn("start", F.last("last.status", ignorenulls=True).over(before)).filter("asked")
+    rows = log.withColumn("__day", day("at")).join(known.select("plan_id", "__day", "changes", "start"), ["plan_id", "__day"])
+    earlier = F.filter("changes", lambda c: c["at"] <= F.col("at").cast("timestamp"))
+    within = F.when(F.size(earlier) > 0, F.element_at(earlier, -1)["status"])
+    return rows.withColumn(out, F.coalesce(within, "start", F.lit("draft"))).select(*log.columns, out)
+
+
+def audit_reversals(reversals: DataFrame, overrides: DataFrame, audit: DataFrame) -> DataFrame:
+    """Why a reversal does not count: blank reason, locked plan, an override that is not there, or one already reversed.
+
+    ``reversals`` has plan_id, override_id, seq, at, reason; the plan's state is taken at that time. Of several
+    reversals of an override that nothing else speaks against, the first one counts. Overrides that were
+    rejected, or entered later, are not there.
+    """
+    standing = overrides.filter(F.col("rejected").isNull()) if "rejected" in overrides.columns else overrides
+    there = standing.groupBy("plan_id", F.col("id").alias("override_id")).agg(F.min("at").alias("__entered"))
+    rows = state_at(reversals, audit).join(there, ["plan_id", "override_id"], "left")
+    reason = (
+        F.when(F.coalesce(F.trim("reason"), F.lit("")) == "", "reason required")
+        .when(F.col("status_at").isin(LOCKED_STATES), "plan locked")
+        .when(F.col("__entered").isNull() | (F.col("__entered") > F.col("at")), "unknown override")
+    )
+    rows = rows.withColumn("rejected", reason)
+    first = rows.filter("rejected IS NULL").groupBy("plan_id", "override_id").agg(F.min(F.struct("at", "seq")).alias("__first"))
+    rows = rows.join(first, ["plan_id", "override_id"], "left")
+    late = F.col("rejected").isNull() & (F.struct("at", "seq") != F.col("__first"))
+    return rows.withColumn("rejected", F.when(late, "already reversed").otherwise(F.col("rejected"))).select(
+        *reversals.columns, "status_at", "rejected"
+    )
+
+
+def reversed_overrides(overrides: DataFrame, reversals: DataFrame) -> DataFrame:
+    """Overrides with ``reverted_at`` and ``revert_reason`` from the accepted rows of ``audit_reversals`` alone."""
+    done = reversals.filter("rejected IS NULL").select(
+        "plan_id", F.col("override_id").alias("id"), F.col("at").alias("reverted_at"), F.trim("reason").alias("revert_reason")
+    )
+    return overrides.drop("reverted_at", "revert_reason").join(done, ["plan_id", "id"], "left")
+
+
 def active_overrides(overrides: DataFrame) -> DataFrame:
     """The value that counts per plan, item and period: the last write that was not reversed.
 

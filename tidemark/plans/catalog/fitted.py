@@ -116,10 +116,35 @@ def _(spark, d):
     return G.driver_importance(models, train, {"Ridge + drivers": 1.0}, names)
 
 
-@query("full_run")
+@query("full_run_exact", sql("SELECT * FROM brand_forecast", "brand_forecast", doubles="baseline_mean scenario_adjustment_pct mean p10 p50 p90", bigints="step"))
+def _(spark, d):
+    """The whole run with the exact models only: its forecast has a SQL twin."""
+    panel = stage(P.brand_panel(spark, d).select("item_id", "ts", "target"), "panel")
+    ahead = U.future_covariates(panel, horizon=H, calendar=False)
+    return forecast_run(panel, ahead, Settings(horizon=H, profile="deep", learners=[], statistical=[])).forecast
+
+
+@query("full_run_weights", sql("SELECT DISTINCT item_id, 1.0::DOUBLE AS weight, 0 AS negative, 6 AS steps, 0 AS disordered, 9 AS models FROM brand_panel", "brand_panel", doubles="weight", bigints="negative steps disordered models"))
 def _(spark, d):
+    """Weights, ranges and models of the whole run in numbers that must hold whatever the fits are.
+
+    One row per item: its weights sum to one, its rows are as many as the horizon, and no range is out of order.
+    """
+    run = whole_run(spark, d)
+    weights = run.weights.groupBy("item_id").agg(F.round(F.sum("weight"), 9).alias("weight"), F.count_if(F.col("weight") < 0).alias("negative"))
+    rows = run.forecast.groupBy("item_id").agg(
+        F.count("*").alias("steps"), F.count_if((F.col("p10") > F.col("p50")) | (F.col("p50") > F.col("p90")) | (F.col("p10") < 0)).alias("disordered")
+    )
+    return weights.join(rows, "item_id").withColumn("models", F.lit(run.leaderboard.count()))
+
+
+def whole_run(spark, d):
     panel = stage(P.brand_panel(spark, d).select("item_id", "ts", "target", "l_discount", "l_returnflag"), "panel")
     drivers = ["l_discount", "l_returnflag"]
     ahead = U.future_covariates(panel, drivers=drivers, policy="carry", calendar=False)
-    run = forecast_run(panel, ahead, Settings(profile="fast", drivers=drivers))
-    return run.forecast
+    return forecast_run(panel, ahead, Settings(profile="fast", drivers=drivers))
+
+
+@query("full_run")
+def _(spark, d):
+    return whole_run(spark, d).forecast

@@ -681,6 +681,63 @@ def _(spark, d):
     ).agg(F.count("*").alias("n"))
 
 
+view("plan_edits", """
+    SELECT CAST(user_id AS VARCHAR) AS plan_id, event_id AS seq, ts AS "at", value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events""")
+view("plan_overrides", "SELECT plan_id, k AS id, \"at\", value FROM plan_edits WHERE k % 3 = 0 AND value >= 5", "plan_edits")
+view("plan_reversals", """
+    SELECT plan_id, seq, "at", k - k % 3 - 3 * (k % 2) AS override_id, CASE WHEN value < 10 THEN ' ' ELSE 'entered twice' END AS reason
+    FROM plan_edits WHERE k % 3 <> 0""", "plan_edits")
+view("reversal_states", """
+    SELECT r.plan_id, r.seq, r."at", r.override_id, r.reason, coalesce(arg_max(v.status, (v."at", v.seq)), 'draft') AS status_at
+    FROM plan_reversals r LEFT JOIN (SELECT p.plan_id, p.seq, p.status, l."at" FROM plan_verdict p JOIN plan_log l USING (plan_id, seq) WHERE p.reason IS NULL) v
+      ON v.plan_id = r.plan_id AND v."at" <= r."at" GROUP BY 1, 2, 3, 4, 5""", "plan_reversals", "plan_verdict", "plan_log")
+view("reversal_rows", """
+    SELECT r.*, CASE WHEN trim(r.reason) = '' THEN 'reason required' WHEN status_at IN ('approved', 'published', 'archived') THEN 'plan locked'
+                     WHEN o.id IS NULL OR o."at" > r."at" THEN 'unknown override' END AS early
+    FROM reversal_states r LEFT JOIN plan_overrides o ON o.plan_id = r.plan_id AND o.id = r.override_id""", "reversal_states", "plan_overrides")
+view("reversal_verdicts", """
+    SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN row_number() OVER (PARTITION BY plan_id, override_id, early IS NULL ORDER BY "at", seq) > 1
+                   THEN 'already reversed' END AS rejected FROM reversal_rows""", "reversal_rows")
+
+
+def plan_edits(spark, d):
+    """Every third event of a plan as an override, the two after it as reversals of it or of the one before."""
+    rows = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("plan_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), "value",
+        F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).cast("long").alias("k"),
+    )
+    edits = rows.filter("k % 3 = 0 AND value >= 5").select("plan_id", F.col("k").alias("id"), "at", "value")
+    undone = rows.filter("k % 3 <> 0").select(
+        "plan_id", "seq", "at", (F.col("k") - F.col("k") % 3 - 3 * (F.col("k") % 2)).alias("override_id"),
+        F.when(F.col("value") < 10, " ").otherwise("entered twice").alias("reason"),
+    )
+    return edits, undone
+
+
+def reversal_verdicts(spark, d):
+    events = plan_events(spark, d)
+    audit = L.audit_transitions(events, plan_facts(spark, d)).join(events.select("plan_id", "seq", "at"), ["plan_id", "seq"])
+    edits, undone = plan_edits(spark, d)
+    return edits, L.audit_reversals(undone, edits, audit)
+
+
+@query("reversal_audit", sql(
+    "SELECT plan_id, seq, override_id, status_at, coalesce(rejected, 'accepted') AS verdict FROM reversal_verdicts", "reversal_verdicts",
+    bigints="seq override_id"))
+def _(spark, d):
+    rows = reversal_verdicts(spark, d)[1]
+    return rows.select("plan_id", "seq", "override_id", "status_at", F.coalesce("rejected", F.lit("accepted")).alias("verdict"))
+
+
+@query("reversed_overrides", sql("""
+    SELECT o.plan_id, o.id, o.value, r.rejected IS NULL AND r.seq IS NOT NULL AS reversed
+    FROM plan_overrides o LEFT JOIN (SELECT * FROM reversal_verdicts WHERE rejected IS NULL) r ON r.plan_id = o.plan_id AND r.override_id = o.id""",
+    "plan_overrides", "reversal_verdicts", doubles="value", bigints="id"))
+def _(spark, d):
+    edits, verdicts = reversal_verdicts(spark, d)
+    return L.reversed_overrides(edits, verdicts).select("plan_id", "id", "value", F.col("reverted_at").isNotNull().alias("reversed"))
+
+
 @query("override_ledger", sql("SELECT * FROM edit_live", "edit_live", doubles="value"))
 def _(spark, d):
     return L.active_overrides(audited(spark, d)[0])
