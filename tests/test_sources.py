@@ -219,3 +219,26 @@ def test_only_a_single_machine_may_stage_in_a_temporary_folder():
 
     assert is_single_machine("local") and is_single_machine("local[8]")
     assert not any(is_single_machine(m) for m in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"))
+
+
+def test_closed_periods_and_late_rows_add_up(spark, tmp_path):
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "item_id string, ts timestamp, target double"
+    arrivals = [
+        [("A", "2024-01-01 10:00:00", 1.0), ("A", "2024-01-02 10:00:00", 2.0), ("B", "2024-01-01 09:00:00", 5.0)],
+        [("A", "2024-01-06 00:00:00", 4.0), ("A", "2024-01-01 11:00:00", 8.0)],  # the clock still stood before the first day's end
+        [("A", "2024-01-01 12:00:00", 16.0), ("A", "2024-01-03 12:00:00", 32.0), ("A", "2024-01-09 00:00:00", 64.0), (None, "2024-01-01 00:00:00", 9.0)],
+    ]
+    for k, rows in enumerate(arrivals):
+        frame = spark.createDataFrame(rows, "item_id string, ts string, target double").withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(str(src))
+    for shards in (1, 3):
+        stream = feeds.stream_folder(spark, str(src), frame.schema, "parquet", per_trigger=1)
+        feeds.drain(feeds.stream_closed_periods(stream, "daily", 2, shards=shards), f"{out}{shards}", f"{state}{shards}")
+    got = {(r.item_id, str(r.period), r.kind): (r.target, r.source_rows) for r in spark.read.schema(feeds.CLOSED).parquet(f"{out}1").collect()}
+    assert got == {
+        ("A", "2024-01-01", "closed"): (9.0, 2), ("A", "2024-01-02", "closed"): (2.0, 1), ("A", "2024-01-01", "late"): (16.0, 1),
+        ("A", "2024-01-03", "late"): (32.0, 1), ("A", "2024-01-06", "closed"): (4.0, 1),
+    }
+    dealt = spark.read.schema(feeds.CLOSED).parquet(f"{out}3").filter("item_id = 'A'").groupBy().agg(F.sum("source_rows")).first()[0]
+    assert dealt <= 6

@@ -260,6 +260,40 @@ for _freq, _unit in (("daily", "DAY"), ("weekly", "WEEK")):
     WHERE date_trunc('{_unit}', ts) + to_days({_days}) <= (SELECT max(ts) FROM events) - to_days(2) GROUP BY 1, 2""", doubles="target", digits=4), digits=4)(_rolled)
 
 
+ARRIVALS = 6
+
+for _freq, _unit in (("daily", "day"), ("weekly", "week")):
+
+    def _late(spark, d, _f=_freq):
+        """The events arrive in six files by their numbers, out of order in time."""
+        out, state = _folders(spark)
+        rows = table(spark, d, "events")
+        last = rows.agg(F.max("event_id")).first()[0]
+        arrival = F.floor(F.col("event_id") * ARRIVALS / F.lit(last + 1))
+        for k in range(ARRIVALS):
+            rows.filter(arrival == k).coalesce(1).write.mode("append").parquet(f"{out}-in")
+        stream = T.stream_folder(spark, f"{out}-in", rows.schema, "parquet", per_trigger=1)
+        stream = stream.withColumnRenamed("value", "target").withColumn("item_id", F.col("user_id").cast("string"))
+        T.drain(T.stream_closed_periods(stream, _f, 2), out, state)
+        kind = lambda name, column: F.coalesce(F.sum(F.when(F.col("kind") == name, F.col(column))), F.lit(0)).alias
+        return spark.read.schema(T.CLOSED).parquet(out).groupBy("item_id", "period").agg(
+            kind("closed", "target")("target"), kind("closed", "source_rows")("source_rows"),
+            kind("late", "target")("late_target"), kind("late", "source_rows")("late_rows"),
+        )
+
+    query(f"stream_late_{_freq}", sql(f"""
+    WITH r AS (SELECT CAST(user_id AS VARCHAR) AS item_id, ts, value, CAST(date_trunc('{_unit}', ts) AS DATE) AS period,
+                      CAST(CAST(date_trunc('{_unit}', ts) AS TIMESTAMP) + INTERVAL 1 {_unit} AS TIMESTAMP) AS "end",
+                      floor(event_id * {ARRIVALS} / (SELECT max(event_id) + 1 FROM events)) AS arrival FROM events),
+    tops AS (SELECT item_id, arrival, max(ts) AS top FROM r GROUP BY 1, 2),
+    clocks AS (SELECT item_id, arrival, max(top) OVER (PARTITION BY item_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS clock,
+                      max(top) OVER (PARTITION BY item_id) - INTERVAL 2 DAY AS last FROM tops),
+    told AS (SELECT r.*, last, coalesce("end" <= clock, false) AS late FROM r JOIN clocks USING (item_id, arrival))
+    SELECT item_id, period, coalesce(sum(value) FILTER (NOT late), 0) AS target, count(*) FILTER (NOT late) AS source_rows,
+           coalesce(sum(value) FILTER (late), 0) AS late_target, count(*) FILTER (late) AS late_rows
+    FROM told WHERE "end" <= last GROUP BY 1, 2""", doubles="target late_target", digits=4), digits=4)(_late)
+
+
 @query("stream_actuals", sql("""
     SELECT a.item_id, sum(abs(a.actual - f.pred)) / sum(abs(a.actual)) * 100 AS wape_pct, avg(abs(a.actual - f.pred)) AS mae, sum(f.pred - a.actual) / sum(abs(a.actual)) * 100 AS bias_pct, count(*) AS validation_points
     FROM (SELECT CAST(user_id AS VARCHAR) AS item_id, CAST(ts AS DATE) AS ts, value AS actual FROM events) a

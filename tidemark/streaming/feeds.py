@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.periods import check_frequency
+from ..functions.periods import align_period, check_frequency, shift_period
 from ..operators.metrics import error_sums, merge_sums, metric_columns
 
 
@@ -51,6 +54,55 @@ def stream_period_rollup(stream: DataFrame, freq: str, lateness: str, ts: str =
     return rolled.select("item_id", F.col("w.start").cast("date").alias("period"), "target", "source_rows")
 
 
+CLOSED = "item_id string, period date, kind string, target double, source_rows long"
+
+
+def stream_closed_periods(
+    stream: DataFrame, freq: str, lateness_days: int, ts: str = "ts", value: str = "target", shards: int = 1
+) -> DataFrame:
+    """Closed periods of every item, and what came too late for them; nothing is lost.
+
+    Each item has a clock of its own: the newest time seen in earlier micro-batches, less the lateness. A
+    period that ends by then is closed: its sum is emitted once, as ``closed``, and rows that arrive
+    for it afterwards are emitted as ``late``, added up per micro-batch. Both kinds together are the
+    sums of all rows of the closed periods. The state of an item is its open periods. ``shards`` deals
+    a busy item's rows to several states with clocks of their own; add their rows up again by item and period.
+    """
+    check_frequency(freq)
+    when = F.col(ts).cast("timestamp")
+    period = align_period(when.cast("date"), freq)
+    rows = stream.select(
+        "item_id", F.pmod(F.xxhash64(ts, value), F.lit(shards)).alias("shard"), when.alias("at"), period.alias("period"),
+        shift_period(period, freq, 1).alias("end"), F.col(value).cast("double").alias("value"),
+    ).filter(F.col("item_id").isNotNull() & F.col("at").isNotNull() & F.col("value").isNotNull())
+    grace = pd.Timedelta(days=lateness_days)
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, open_ = json.loads(state.get[0]) if state.exists else (None, {})
+        clock = pd.Timestamp(newest) - grace if newest else pd.Timestamp.min
+        late: dict[str, list] = {}
+        for rows in batches:
+            for (start, end), part in rows.groupby(["period", "end"]):
+                held = late if pd.Timestamp(end) <= clock else open_
+                total = held.setdefault(str(start), [str(end), 0.0, 0])
+                total[1] += float(part["value"].sum())
+                total[2] += len(part)
+            top = str(rows["at"].max())
+            newest = top if newest is None or pd.Timestamp(top) > pd.Timestamp(newest) else newest
+        clock = pd.Timestamp(newest) - grace
+        done = {p: open_.pop(p) for p in list(open_) if pd.Timestamp(open_[p][0]) <= clock}
+        state.update((json.dumps([newest, open_]),))
+        out = [(p, "closed", v, n) for p, (_, v, n) in done.items()] + [(p, "late", v, n) for p, (_, v, n) in late.items()]
+        yield pd.DataFrame({
+            "item_id": [key[0]] * len(out), "period": [pd.Timestamp(x[0]).date() for x in out], "kind": [x[1] for x in out],
+            "target": [x[2] for x in out], "source_rows": [x[3] for x in out],
+        })
+
+    return rows.groupBy("item_id", "shard").applyInPandasWithState(
+        advance, CLOSED, "held string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def stream_actuals(actuals: DataFrame, forecast: DataFrame, keys: list[str] = ("item_id",)) -> DataFrame:
     """Running error sums of arriving actuals against a fixed forecast.
 
