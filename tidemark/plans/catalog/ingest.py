@@ -265,11 +265,12 @@ ARRIVALS = 6
 for _freq, _unit in (("daily", "day"), ("weekly", "week")):
 
     def _late(spark, d, _f=_freq):
-        """The events arrive in six files by their numbers, out of order in time."""
+        """The events arrive in six files by their numbers; every tenth comes two files later than its neighbours."""
         out, state = _folders(spark)
         rows = table(spark, d, "events")
         last = rows.agg(F.max("event_id")).first()[0]
-        arrival = F.floor(F.col("event_id") * ARRIVALS / F.lit(last + 1))
+        arrival = F.floor(F.col("event_id") * ARRIVALS / F.lit(last + 1)) + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)
+        arrival = F.least(arrival, F.lit(ARRIVALS - 1))
         for k in range(ARRIVALS):
             rows.filter(arrival == k).coalesce(1).write.mode("append").parquet(f"{out}-in")
         stream = T.stream_folder(spark, f"{out}-in", rows.schema, "parquet", per_trigger=1)
@@ -284,7 +285,7 @@ for _freq, _unit in (("daily", "day"), ("weekly", "week")):
     query(f"stream_late_{_freq}", sql(f"""
     WITH r AS (SELECT CAST(user_id AS VARCHAR) AS item_id, ts, value, CAST(date_trunc('{_unit}', ts) AS DATE) AS period,
                       CAST(CAST(date_trunc('{_unit}', ts) AS TIMESTAMP) + INTERVAL 1 {_unit} AS TIMESTAMP) AS "end",
-                      floor(event_id * {ARRIVALS} / (SELECT max(event_id) + 1 FROM events)) AS arrival FROM events),
+                      least(floor(event_id * {ARRIVALS} / (SELECT max(event_id) + 1 FROM events)) + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END, {ARRIVALS - 1}) AS arrival FROM events),
     tops AS (SELECT item_id, arrival, max(ts) AS top FROM r GROUP BY 1, 2),
     clocks AS (SELECT item_id, arrival, max(top) OVER (PARTITION BY item_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 DAY AS clock,
                       max(top) OVER (PARTITION BY item_id) - INTERVAL 2 DAY AS last FROM tops),
