@@ -242,3 +242,21 @@ def test_closed_periods_and_late_rows_add_up(spark, tmp_path):
     }
     dealt = spark.read.schema(feeds.CLOSED).parquet(f"{out}3").filter("item_id = 'A'").groupBy().agg(F.sum("source_rows")).first()[0]
     assert dealt <= 6
+
+
+def test_a_run_that_was_cut_off_is_invisible_and_can_be_written_again(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    good = spark.range(3).withColumn("x", F.lit(1.0))
+    broken = spark.range(3).withColumn("x", F.raise_error(F.lit("lost")).cast("double"))
+    assert sinks.committed_runs(spark, path).count() == 0
+    sinks.write_run("2026", {"forecast": good, "portfolio": good}, path)
+    with pytest.raises(Exception):
+        sinks.write_run("b", {"forecast": good, "portfolio": broken}, path)
+    assert {r.run_id for r in sinks.read_run_table(spark, path, "forecast").collect()} == {"2026"}
+    sinks.write_run("b", {"forecast": good.limit(2), "portfolio": good}, path)
+    got = sinks.read_run_table(spark, path, "forecast").groupBy("run_id").count().collect()
+    assert {(r.run_id, r["count"]) for r in got} == {("2026", 3), ("b", 2)}
+    assert sinks.read_run_table(spark, path, "forecast", "b").columns == ["id", "x", "run_id"]
+    with pytest.raises(ValueError, match="already"):
+        sinks.write_run("b", {"forecast": good}, path)
+    assert sorted(r.run_id for r in sinks.committed_runs(spark, path).collect()) == ["2026", "b"]

@@ -215,6 +215,8 @@ def _(spark, d):
 
     folder = f"{staging_root(spark)}/runs-{uuid.uuid4().hex[:12]}"
     S.write_run("r1", {"forecast": plain_forecast(spark, d)}, folder)
+    # an attempt at another run that was cut off before its manifest: nobody sees it
+    plain_forecast(spark, d).write.parquet(f"{folder}/forecast/run_id=r2/attempt=cut")
     return S.read_run_table(spark, folder, "forecast").groupBy("ts", "run_id").agg(F.sum("mean").alias("mean"), F.count("*").alias("items"))
 
 

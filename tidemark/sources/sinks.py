@@ -8,17 +8,52 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+MANIFEST = "run string, attempt string, tables array<string>, written_at timestamp"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def committed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """``run_id, attempt, tables`` of every whole run; of two attempts that both ended, the first one counts."""
+    if not _exists(spark, f"{path}/manifest"):
+        return spark.createDataFrame([], "run_id string, attempt string, tables array<string>")
+    rows = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{path}/manifest")
+    first = rows.groupBy(F.col("run").alias("run_id")).agg(F.min(F.struct("written_at", "attempt", "tables")).alias("m"))
+    return first.select("run_id", "m.attempt", "m.tables")
+
+
 def write_run(run_id: str, tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> None:
-    """One directory per table, partitioned by run; a run is written once.
+    """One directory per table, partitioned by run and attempt; a run is written once, whole or not at all.
 
-    Only the partition of this run is written, so other runs are neither read nor moved.
+    The manifest is written after all tables and makes the run visible: readers go through it, so what an
+    attempt that was cut off has left behind is never read, and the run can be written again. Only
+    directories of this attempt are written, so other runs are neither read nor moved.
     """
+    if not tables:
+        raise ValueError("a run needs a table")
+    spark = next(iter(tables.values())).sparkSession
+    if committed_runs(spark, path).filter(F.col("run_id") == run_id).take(1):
+        raise ValueError(f"run {run_id!r} is there already")
+    attempt = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.format(fmt).mode("errorifexists").option("header", "true").save(f"{path}/{name}/run_id={run_id}")
-
-
-def read_run_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+        df.write.format(fmt).mode("errorifexists").option("header", "true").save(f"{path}/{name}/run_id={run_id}/attempt={attempt}")
+    row = spark.createDataFrame([(run_id, attempt, sorted(tables))], "run string, attempt string, tables array<string>")
+    row = row.withColumn("written_at", F.current_timestamp())
+    row.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/{attempt}")
+
+
+def read_run_table(spark: SparkSession, path: str, name: str, run_id: str | None = None) -> DataFrame:
+    """A table of all whole runs, or of one, with its ``run_id``. Partitions of other attempts are pruned."""
+    runs = committed_runs(spark, path).filter(F.array_contains("tables", name))
+    if run_id is not None:
+        runs = runs.filter(F.col("run_id") == run_id)
+    chosen = runs.select(F.col("run_id").alias("__run"), F.col("attempt").alias("__attempt"))
+    rows = spark.read.parquet(f"{path}/{name}")
+    same = (rows["run_id"].cast("string") == F.col("__run")) & (rows["attempt"] == F.col("__attempt"))
+    return rows.join(chosen, same, "left_semi").withColumn("run_id", F.col("run_id").cast("string")).drop("attempt")
 
 
 def snapshot(
