@@ -9,6 +9,7 @@ from ...functions.fixed import (
 )
 from ...operators import cleaning as K
 from ...session import staging_root
+from ...sources import files as L
 from ...sources import profile as R
 from ...sources import sinks as S
 from ...sources import workbook as B
@@ -225,6 +226,48 @@ def _(spark, d):
     return S.latest_run(runs(spark, d)).select("run_id", "created_at", "wape_pct")
 
 
+# --- files ------------------------------------------------------------------------------------------
+
+
+def _rewritten(spark) -> str:
+    import uuid
+
+    return f"{staging_root(spark)}/files-{uuid.uuid4().hex[:12]}"
+
+
+@query("delimited_read", sql("""
+    SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment,
+           CASE WHEN c_nationkey % 2 = 0 THEN 'a;b, "c" | d' END AS note FROM customer"""))
+def _(spark, d):
+    """The customers as files of two separators and column orders in one folder, read together by name."""
+    folder, rows = _rewritten(spark), table(spark, d, "customer")
+    note = F.lit('a;b, "c" | d').alias("note")
+    even = rows.filter("c_nationkey % 2 = 0").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", note)
+    odd = rows.filter("c_nationkey % 2 = 1").select("c_mktsegment", "c_name", "c_custkey", "c_nationkey")
+    even.write.option("header", "true").option("sep", ",").option("escape", '"').mode("append").csv(folder)
+    odd.write.option("header", "true").option("sep", ";").option("escape", '"').mode("append").csv(folder)
+    return L.read_delimited(spark, folder).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "note")
+
+
+@query("json_read", sql("SELECT o_orderkey, o_orderstatus, o_totalprice, o_custkey FROM orders", doubles="o_totalprice", bigints="o_orderkey o_custkey"))
+def _(spark, d):
+    """All orders as one record a line."""
+    folder = _rewritten(spark) + ".jsonl"
+    table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey").write.json(folder)
+    return L.read_json(spark, folder).select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
+
+
+@query("snapshot_roundtrip", sql("SELECT p_brand, count(*) AS parts, sum(p_retailprice) AS price, 'monthly' AS freq FROM part GROUP BY 1", doubles="price"))
+def _(spark, d):
+    """The parts saved under an id of their own, with settings, and read again by it."""
+    folder = _rewritten(spark)
+    saved = S.snapshot(table(spark, d, "part"), {"freq": "monthly"}, folder, name="parts")
+    data, settings = S.read_snapshot(spark, folder, saved)
+    return data.groupBy("p_brand").agg(
+        F.count("*").alias("parts"), F.sum("p_retailprice").alias("price"), F.lit(settings["freq"]).alias("freq")
+    )
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 

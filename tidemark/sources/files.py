@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import stage
+
 SEPARATORS = [",", ";", "\t", "|"]
 
 
@@ -84,53 +89,113 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_NS}t"))
 
 
-def _cells(path: str, payload: bytes) -> Iterator[tuple]:
-    """Nonblank cells of one workbook, straight from its XML parts."""
+PARTS = "path string, kind string, sheet string, sheet_no int, dates array<int>, packed boolean, content binary"
+
+
+def _parts(path: str, payload: bytes) -> Iterator[tuple]:
+    """The sheets and the shared strings of a workbook as they lie in the archive, still packed."""
     with zipfile.ZipFile(io.BytesIO(payload)) as book:
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            shared = [_text(si) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        dates = _date_styles(book)
-        rels = {
-            r.get("Id"): r.get("Target")
-            for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
-        }
-        sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet")
-        for number, sheet in enumerate(sheets):
+        names = set(book.namelist())
+
+        def taken(part: str) -> tuple[bool, bytes]:
+            entry = book.getinfo(part)
+            # the local header has a name and further fields of its own lengths before the data
+            name, extra = struct.unpack_from("<HH", payload, entry.header_offset + 26)
+            begin = entry.header_offset + 30 + name + extra
+            return entry.compress_type != zipfile.ZIP_STORED, payload[begin : begin + entry.compress_size]
+
+        dates = sorted(_date_styles(book))
+        if "xl/sharedStrings.xml" in names:
+            yield path, "strings", None, -1, [], *taken("xl/sharedStrings.xml")
+        rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        for number, sheet in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet")):
             target = rels[sheet.get(_REL)].lstrip("/")
             part = target if target.startswith("xl/") else f"xl/{target}"
-            with book.open(part) as stream:
-                for _, row in ElementTree.iterparse(stream):
-                    if row.tag != f"{_NS}row":
-                        continue
-                    for i, cell in enumerate(row.iter(f"{_NS}c")):
-                        kind, raw = cell.get("t"), cell.find(f"{_NS}v")
-                        value = _text(cell) if kind == "inlineStr" else raw.text if raw is not None else None
-                        if value is None or value == "":
-                            continue
-                        if kind == "s":
-                            value = shared[int(value)]
-                        elif kind is None and int(cell.get("s", 0)) in dates:
-                            value = str((pd.Timestamp("1899-12-30") + pd.Timedelta(days=float(value))).date())
-                        col = _column(cell.get("r")) if cell.get("r") else i
-                        yield path, sheet.get("name"), number, int(row.get("r")) - 1, col, value
-                    row.clear()
+            yield path, "sheet", sheet.get("name"), number, dates, *taken(part)
+
+
+class _Unpacked(io.RawIOBase):
+    """A packed part, unpacked as far as it is read."""
+
+    def __init__(self, packed: bool, content: bytes):
+        self.source, self.stream = io.BytesIO(content), zlib.decompressobj(-15) if packed else None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        out = b""
+        while not out:
+            if self.stream is None:
+                out = self.source.read(len(into))
+                break
+            raw = self.stream.unconsumed_tail or self.source.read(1 << 16)
+            if not raw:
+                break
+            out = self.stream.decompress(raw, len(into))
+        into[: len(out)] = out
+        return len(out)
+
+
+def _elements(packed: bool, content: bytes, tag: str) -> Iterator:
+    """Elements of one kind, each cleared once it has been used."""
+    for _, node in ElementTree.iterparse(io.BufferedReader(_Unpacked(packed, content))):
+        if node.tag == f"{_NS}{tag}":
+            yield node
+            node.clear()
+
+
+def _cells(part) -> Iterator[tuple]:
+    """Nonblank cells of one sheet: their value, or the number of their shared string."""
+    dates = set(part.dates.tolist())
+    for row in _elements(part.packed, part.content, "row"):
+        for i, cell in enumerate(row.iter(f"{_NS}c")):
+            kind, raw = cell.get("t"), cell.find(f"{_NS}v")
+            value = _text(cell) if kind == "inlineStr" else raw.text if raw is not None else None
+            if value is None or value == "":
+                continue
+            shared = int(value) if kind == "s" else None
+            if kind is None and int(cell.get("s", 0)) in dates:
+                value = str((pd.Timestamp("1899-12-30") + pd.Timedelta(days=float(value))).date())
+            col = _column(cell.get("r")) if cell.get("r") else i
+            yield part.path, part.sheet, part.sheet_no, int(row.get("r")) - 1, col, None if kind == "s" else value, shared
+
+
+def _in_blocks(rows: Iterator[tuple], names: list[str], most: int = 50_000) -> Iterator[pd.DataFrame]:
+    while block := list(islice(rows, most)):
+        yield pd.DataFrame(block, columns=names)
 
 
 def read_workbooks(spark: SparkSession, glob: str) -> DataFrame:
-    """Cells of every workbook that matches: ``path, sheet, sheet_no, row, col, value``."""
+    """Cells of every workbook that matches: ``path, sheet, sheet_no, row, col, value``.
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["path", "sheet", "sheet_no", "row", "col", "value"]
+    A first pass takes the packed sheets out of the archives by their directories and writes them; each sheet is
+    then one task's work, and shared strings are a table that cells meet by number.
+    """
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, payload in zip(batch["path"], batch["content"]):
-                block = []
-                for cell in _cells(path, payload):
-                    block.append(cell)
-                    if len(block) == 50_000:
-                        yield pd.DataFrame(block, columns=names)
-                        block = []
-                yield pd.DataFrame(block, columns=names)
+                for part in _parts(path, payload):
+                    yield pd.DataFrame([part], columns=["path", "kind", "sheet", "sheet_no", "dates", "packed", "content"])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in batch.itertuples():
+                yield from _in_blocks(_cells(part), ["path", "sheet", "sheet_no", "row", "col", "value", "shared"])
+
+    def read_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in batch.itertuples():
+                texts = ((part.path, i, _text(si)) for i, si in enumerate(_elements(part.packed, part.content, "si")))
+                yield from _in_blocks(texts, ["path", "shared", "text"])
 
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return files.mapInPandas(parse, CELLS)
+    parts = stage(files.mapInPandas(split, PARTS), "workbook-parts")
+    sheets = parts.filter("kind = 'sheet'").repartition("path", "sheet_no")
+    cells = sheets.mapInPandas(parse, CELLS + ", shared int")
+    strings = parts.filter("kind = 'strings'").repartition("path").mapInPandas(read_strings, "path string, shared int, text string")
+    # cells with a value of their own look for a number that no string has, each row another one, so they do not crowd
+    looked = cells.withColumn("shared", F.coalesce("shared", -1 - F.col("row")))
+    named = looked.join(strings, ["path", "shared"], "left").withColumn("value", F.coalesce("value", "text"))
+    return named.filter(F.col("value") != "").select("path", "sheet", "sheet_no", "row", "col", "value")
