@@ -134,8 +134,10 @@ def bom_explosion(demand: DataFrame, bom: DataFrame) -> DataFrame:
 # --- material plan ------------------------------------------------------------------
 
 
-def material_plan(gross: DataFrame, materials: DataFrame, scheduled: DataFrame | None = None) -> DataFrame:
-    """Time-phased balance and lot-sized proposals that net earlier proposals.
+def material_plan(
+    gross: DataFrame, materials: DataFrame, scheduled: DataFrame | None = None, rounded: bool = True
+) -> DataFrame:
+    """Time-phased balance and lot-sized proposals that net earlier proposals. Decisions need the rows not ``rounded``.
 
     Proposals add up to the running maximum of the lot-rounded shortfall, so the balance
     needs running sums and one running maximum, and no row-by-row recursion.
@@ -172,7 +174,7 @@ def material_plan(gross: DataFrame, materials: DataFrame, scheduled: DataFrame |
     order = F.col("__covered") - F.coalesce(F.lag("__covered").over(w), F.lit(0.0))
     rows = rows.withColumn("order", order)
     release = F.when(F.col("order") > 0, F.date_sub("period", F.col("lead")))
-    r3 = lambda c: F.bround(c, 3)
+    r3 = lambda c: F.bround(c, 3) if rounded else c
     return rows.select(
         "material_id", "material_name", "supplier", "period",
         r3(F.col("balance") - net).alias("opening"),
@@ -194,7 +196,7 @@ def material_plan(gross: DataFrame, materials: DataFrame, scheduled: DataFrame |
 # --- capacity -------------------------------------------------------------------------
 
 
-def capacity_plan(load: DataFrame, capacity: DataFrame) -> DataFrame:
+def capacity_plan(load: DataFrame, capacity: DataFrame, rounded: bool = True) -> DataFrame:
     rows = capacity.select(
         F.col("production_line").cast("string").alias("production_line"), _month(capacity, "period").alias("period"),
         _number(capacity, "available_tonnes").alias("available"),
@@ -210,12 +212,14 @@ def capacity_plan(load: DataFrame, capacity: DataFrame) -> DataFrame:
         .when(F.col("use") > 90, "watch")
         .otherwise("available")
     )
+    shown = lambda c, digits: F.bround(c, digits) if rounded else F.col(c)
+    joined = joined.withColumn("gap", F.col("available") - F.col("demand"))
     return joined.select(
         "production_line", "period",
-        F.bround("demand", 3).alias("forecast_tonnes"), F.bround("available", 3).alias("available_tonnes"),
-        F.bround("use", 2).alias("utilisation_pct"), F.bround("downtime", 2).alias("planned_downtime_hours"),
-        F.bround("days", 1).alias("working_days"), F.bround("oee", 3).alias("oee_target"),
-        F.bround(F.col("available") - F.col("demand"), 3).alias("gap_tonnes"), status.alias("status"),
+        shown("demand", 3).alias("forecast_tonnes"), shown("available", 3).alias("available_tonnes"),
+        shown("use", 2).alias("utilisation_pct"), shown("downtime", 2).alias("planned_downtime_hours"),
+        shown("days", 1).alias("working_days"), shown("oee", 3).alias("oee_target"),
+        shown("gap", 3).alias("gap_tonnes"), status.alias("status"),
     )
 
 
@@ -223,9 +227,13 @@ def capacity_plan(load: DataFrame, capacity: DataFrame) -> DataFrame:
 
 
 def action_list(material: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Orders to release and line months to resolve, high priority first, then by period."""
+    """Orders to release and line months to resolve, high priority first, then by period.
+
+    Both plans must not be rounded: a balance a little below zero is one. Orders of less than the amount
+    that keeps float noise from opening a lot are none.
+    """
     order = F.col("recommended_order")
-    buy = material.filter(order > 0).select(
+    buy = material.filter(order > ZERO).select(
         F.when(F.col("projected_balance") < 0, "high").otherwise("medium").alias("priority"),
         F.lit("material_shortage").alias("type"),
         F.coalesce("material_name", "material_id").alias("subject"),

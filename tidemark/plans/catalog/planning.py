@@ -334,24 +334,37 @@ def _(spark, d):
 
 
 view("action_rows", """
-    SELECT CASE WHEN projected_balance < 0 THEN 'high' ELSE 'medium' END AS priority, 'material_shortage' AS type, material_name AS subject, period,
-           'Release ' || format('{:,.1f}', recommended_order) || ' ' || unit || ' by ' || CAST(planned_release_date AS VARCHAR) AS action, 'Procurement' AS owner
-    FROM mrp_rows WHERE recommended_order > 0
+    SELECT CASE WHEN balance < 0 THEN 'high' ELSE 'medium' END AS priority, 'material_shortage' AS type, material_name AS subject, f.period,
+           'Release ' || format('{:,.1f}', ordered) || ' ' || unit || ' by ' || CAST(CAST(f.period - to_days(lead) AS DATE) AS VARCHAR) AS action, 'Procurement' AS owner
+    FROM mrp_walk w JOIN mrp_flow f ON f.material_id = w.material_id AND f.k = w.k WHERE ordered > 1e-9::DOUBLE
     UNION ALL
-    SELECT CASE WHEN status = 'bottleneck' THEN 'high' ELSE 'medium' END, 'capacity', production_line, period,
-           CASE WHEN status = 'bottleneck' THEN 'Resolve ' || format('{:,.1f}', greatest(0, -gap_tonnes)) || ' tonne capacity gap' ELSE 'Review sequence and planned downtime' END, 'Production planning'
-    FROM capacity_rows WHERE status IN ('bottleneck', 'watch')""", "mrp_rows", "capacity_rows")
+    SELECT CASE WHEN demand > available_tonnes THEN 'high' ELSE 'medium' END, 'capacity', production_line, period,
+           CASE WHEN demand > available_tonnes THEN 'Resolve ' || format('{:,.1f}', demand - available_tonnes) || ' tonne capacity gap' ELSE 'Review sequence and planned downtime' END, 'Production planning'
+    FROM (SELECT c.*, coalesce(n.demand, 0) AS demand FROM capacity c LEFT JOIN line_need n USING (production_line, period))
+    WHERE demand > available_tonnes OR (available_tonnes > 0 AND demand / available_tonnes * 100 > 90)""", "mrp_walk", "mrp_flow", "capacity", "line_need")
+
+
+def plans_of_supply(spark, d, rounded: bool = True):
+    """Material and capacity plan from a forecast and item metadata that are made once."""
+    ahead = stage(plain_forecast(spark, d).select("item_id", "ts", "mean"), "forecast")
+    meta = stage(metadata(spark, d), "metadata")
+    ops = operations(spark, d)
+    gross = Y.bom_explosion(Y.sku_demand(ahead, meta), ops["bom"])
+    return (
+        Y.material_plan(gross, ops["materials"], Y.receipts(ops["open_pos"]), rounded),
+        Y.capacity_plan(Y.line_load(ahead, meta), ops["capacity"], rounded),
+    )
 
 
 @query("actions", sql("SELECT * FROM action_rows", "action_rows"))
 def _(spark, d):
-    return Y.action_list(material_rows(spark, d), capacity_rows(spark, d))
+    return Y.action_list(*plans_of_supply(spark, d, rounded=False))
 
 
 @query("top_evidence", sql("""
     SELECT * FROM (SELECT * FROM action_rows WHERE type = 'material_shortage' ORDER BY priority <> 'high', period, subject LIMIT 5)""", "action_rows"))
 def _(spark, d):
-    return Y.top_evidence(Y.action_list(material_rows(spark, d), capacity_rows(spark, d)), "material")
+    return Y.top_evidence(Y.action_list(*plans_of_supply(spark, d, rounded=False)), "material")
 
 
 @query("supply_filter", sql("""
@@ -364,7 +377,7 @@ def _(spark, d):
 
 @query("supply_periods", sql("SELECT DISTINCT period FROM (SELECT period FROM mrp_rows UNION ALL SELECT period FROM capacity_rows)", "mrp_rows", "capacity_rows"))
 def _(spark, d):
-    return Y.supply_periods(material_rows(spark, d), capacity_rows(spark, d))
+    return Y.supply_periods(*plans_of_supply(spark, d))
 
 
 @query("operations_summary", sql("""
@@ -374,7 +387,7 @@ def _(spark, d):
     "mrp_rows", "capacity_rows", "open_pos", "materials", doubles="quality_hold_total"))
 def _(spark, d):
     ops = operations(spark, d)
-    return Y.operations_summary(material_rows(spark, d), capacity_rows(spark, d), ops["open_pos"], ops["materials"])
+    return Y.operations_summary(*plans_of_supply(spark, d), ops["open_pos"], ops["materials"])
 
 
 def _dirty(spark, d):
@@ -816,7 +829,7 @@ def diagnostics(spark, d):
 
 @query("exceptions", sql("SELECT section, priority, item, reason, owner FROM findings", "findings", bigints="section"))
 def _(spark, d):
-    return Q.exceptions(diagnostics(spark, d), Y.action_list(material_rows(spark, d), capacity_rows(spark, d)), n=None)
+    return Q.exceptions(diagnostics(spark, d), Y.action_list(*plans_of_supply(spark, d, rounded=False)), n=None)
 
 
 @query("exception_queue", sql("""
