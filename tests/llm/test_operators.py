@@ -63,6 +63,26 @@ def test_secret_scan(docs, none):
     assert all(r["n_assign"] + r["n_access"] + r["n_hex"] == 0 for r in rows if r["doc_id"] != 13)
 
 
+def test_secret_scan_adds_random_strings_and_no_numbers(spark):
+    r = random.Random(5)
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [prose(60, 900 + i) + f" {draw('0123456789', 16)} 555-{draw('0123456789', 4)} word_{i} " + f"api_key={draw('0123456789abcdef', 40)}" for i in range(80)]
+    mixed = {f"{prose(20, 70 + i)} ({draw(letters + letters.upper() + '0123456789', 36)}) {prose(5, i)}" for i in range(20)}
+    plain = ["4929104862207154 and 20240115-2024-01-16", "abcdefghinorstuabcdefghi", "x" * 15, "shared " + "nothing_important_here/or_there"]
+    rows = [(i, t) for i, t in enumerate([*texts, *sorted(mixed), *plain])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit(1), "value": F.lit(2)})
+    got = {x["doc_id"]: x for x in secret_scan.secret_scan(frame).collect()}
+    for d, text in rows:
+        added = [tuple(map(int, s.split(":")[1:])) for s in got[d]["spans"].split(",") if s.startswith("markov")]
+        inside = re.search(r"\(([^)]*)\)", text)
+        assert added == ([inside.span(1)] if inside else []), text
+    held = {x["label"]: (x["n"], x["n_random"]) for x in secret_scan.held_back(frame.filter("doc_id < 80")).collect()}
+    assert held[1][0] == held[1][1] >= 8 and 0 not in held  # no other token of 16 characters holds a letter
+    twice = secret_scan.secret_scan(frame.unionAll(frame)).groupBy("doc_id").count()
+    assert twice.filter("count <> 2").count() == 0
+
+
 def test_bpe_equals_the_library(docs, none):
     from tokenizers import Tokenizer
 
@@ -103,6 +123,20 @@ def test_url_filter(spark):
     assert len(nothing) == 6 and url_reputation.url_filter(pages.limit(0), outcomes).count() == 0
 
 
+def test_hosts_fall_by_evidence_of_their_own(spark):
+    r = random.Random(8)
+    outcomes = [(f"h{h}.site{h % 7}.net", int(r.random() < 0.9)) for h in range(40) for _ in range(25)]
+    outcomes += [("bad.site1.net", int(i % 4 == 0)) for i in range(60)] + [("two.site2.net", 0)] * 2
+    hosts = ["bad.site1.net", "two.site2.net", "new.site3.net", "new.elsewhere.org", "h3.site3.net"]
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(hosts)], "page_id long, url string")
+    frame = spark.createDataFrame(outcomes, "host string, good int")
+    got = {x["host"]: x for x in url_reputation.url_filter(pages, frame, rules=[]).collect()}
+    assert {h: x["verdict"] for h, x in got.items()} == {h: "block" if h.startswith("bad") else "allow" for h in hosts}
+    assert got["bad.site1.net"]["posterior_mean"] > 0.25  # shrunk towards its domain
+    strict = url_reputation.url_filter(pages, frame, rules=[], worse=1.0, z=0.0).filter("host = 'two.site2.net'").first()
+    assert strict["verdict"] == "block"
+
+
 def test_quality(spark, docs, none):
     junk = [(1000 + i, " ".join(w + "###" for w in prose(40, i).split()), 0) for i in range(60)]
     good = [(2000 + i, prose(60, 500 + i).capitalize() + ".", 1) for i in range(60)]
@@ -298,6 +332,22 @@ def test_edited_text_around_a_leak_does_not_hide_it(spark):
     assert got == {1: [1], 5: [5], 8: [8], 10: [10], 50: [5], 51: [], 80: []}
 
 
+@pytest.mark.parametrize("n, ways", [(9, 46), (10, 56), (11, 67)])
+def test_every_replacement_that_counts_is_found(spark, n, ways):
+    from itertools import combinations
+
+    least = spaced_seeds.needed(n, spaced_seeds.LEAST, spaced_seeds.SIMILAR)
+    item = [f"i{n}w{i}" for i in range(n)]
+    texts = [" ".join(f"o{k}" if k in c else w for k, w in enumerate(item)) for m in range(n - least + 2) for c in combinations(range(n), m)]
+    counts = [sum(w.startswith("i") for w in t.split()) >= least for t in texts]
+    docs = spark.createDataFrame([(i, prose(12, i) + " " + t + " " + prose(12, 3 * i)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {bytes(r["key"]) for r in spaced_seeds.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    hit = {r["doc_id"]: hashlib.md5(r["text"].encode()).digest() in found for r in docs.collect()}
+    assert sum(counts) == ways
+    # a stretch may also reach the share within fewer words, so none that counts is missed, and none is found without enough words
+    assert [hit[i] for i in range(len(texts))] == counts
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     """Each stage against a plain version on its own input, one after the other."""
     import corpus_pipeline

@@ -12,8 +12,8 @@ were replaced. Every position of every benchmark text and every document gets a
    words, or the share ``similar`` of a benchmark text that has fewer than ``least``.
 
 Documents are told apart by their text, so copies are looked at once and take the result of their
-text in one join. Defined cases: null texts are empty; benchmark texts of five to eight words, too short
-for a mask, are looked for by the hashes of every choice of so many of their words as must be equal; those of
+text in one join. Defined cases: null texts are empty; benchmark texts of five words or more, but
+fewer than ``least``, are looked for by the hashes of every choice of so many of their words as must be equal; those of
 fewer than five words recur by chance and are not looked for; several benchmark texts in one document are all reported; repeated rows give a row each; a null id stays
 null; an empty benchmark contaminates nothing; further columns are kept by ``clean`` and ignored by the query.
 """
@@ -94,7 +94,7 @@ def benchmark_words(benchmark: DataFrame, least: int = LEAST, similar: float = S
                     for r, place, h in zip(row.tolist(), (at - first[row]).tolist(), seed.view(np.int64).tolist()):
                         rows[r].append({"place": place, "hash": h})
                 for r, n in enumerate(np.diff(first).tolist()):
-                    if SHORTEST <= n < SPAN:
+                    if SHORTEST <= n < least:
                         for place, mask in short_masks(n, needed(n, least, similar)):
                             seed, _ = seeds_of(hashes[first[r] + place : first[r] + place + len(mask)], np.array([0, len(mask)]), mask)
                             rows[r].append({"place": place, "hash": int(seed.view(np.int64)[0])})
@@ -112,7 +112,7 @@ def benchmark_words(benchmark: DataFrame, least: int = LEAST, similar: float = S
 def document_segments(docs: DataFrame, bitmap, lengths: list[int], least: int = LEAST, similar: float = SIMILAR) -> DataFrame:
     """Rows (key, begin, words, seeds): stretches of documents around seeds that pass the bitmap.
 
-    ``lengths`` are those of the benchmark texts that are shorter than a mask.
+    ``lengths`` are those of the benchmark texts that have fewer words than must be equal in longer ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
     schema = "key binary, begin int, words array<long>, seeds array<struct<place:int,hash:long>>"
@@ -213,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, simi
     """Rows (key, item_ids, n_equal) of the distinct texts that overlap the benchmark; key is the md5 of the text."""
     items = stage(benchmark_words(benchmark, least, similar), "benchmark-words")
     size = F.size("words")
-    lengths = [n for (n,) in items.filter((size >= SHORTEST) & (size < SPAN)).select(size).distinct().collect()]  # four at most
+    lengths = [n for (n,) in items.filter((size >= SHORTEST) & (size < least)).select(size).distinct().collect()]  # seven at most
     bitmap = bitmap_of(items.select(F.explode("seeds").alias("s")).select("s.hash"), BITS)
     segments = stage(document_segments(docs, bitmap, lengths, least, similar).dropDuplicates(["key", "begin"]), "seed-segments")
     found = overlaps(segments, items, least, similar)

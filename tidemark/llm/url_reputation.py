@@ -3,8 +3,10 @@
 Outcomes (1 good, 0 bad) of labelled pages are counted per host. Counts shrink through beta priors
 from the top down: the prior of a suffix is centred on the rate of all pages, that of a registered
 domain on its suffix's posterior mean, that of a host on its domain's. The strength of each level's
-prior is estimated by the method of moments from the spread of the rates below it. A page passes
-when the lower bound of its host's posterior, mean minus ``z`` standard deviations, reaches ``least``.
+prior is estimated by the method of moments from the spread of the rates below it. A page is blocked
+when even the upper bound of its host's posterior, mean plus ``z`` standard deviations, lies below the cut:
+the rate whose odds of a good page are those of all pages divided by ``worse``. So the cut moves with the
+pages at hand, and a host falls by evidence of its own, not for want of it.
 
 All of it is DataFrame work: outcomes are added up per host before anything is joined, so a host with
 a third of all pages is one row, and pages meet the host table in one join.
@@ -33,7 +35,7 @@ RULES = [
 
 #: Public suffixes of two labels; all others have one. A parameter of ``reputation``.
 TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz"]
-LEAST, Z = 0.7, 1.645
+WORSE, Z = 2.0, 1.645
 #: Bounds of a prior's strength, in pages. The lower one keeps empty hosts defined.
 WEAKEST, STRONGEST = 2.0, 1000.0
 
@@ -109,7 +111,7 @@ def reputation(outcomes: DataFrame, two_label: list[str] = TWO_LABEL_SUFFIXES) -
 
 
 def url_filter(
-    pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = LEAST, z: float = Z,
+    pages: DataFrame, outcomes: DataFrame, rules=RULES, worse: float = WORSE, z: float = Z,
     two_label: list[str] = TWO_LABEL_SUFFIXES,
 ) -> DataFrame:
     """Judge every page's url. ``outcomes`` has rows (host, good).
@@ -126,7 +128,9 @@ def url_filter(
     # a host without outcomes keeps its parent's mean, at the strength of the parent's own prior
     mean = F.coalesce(*[F.col(f"{p}a") / (F.col(f"{p}a") + F.col(f"{p}b")) for p in "hds"], F.lit(found["start"]["rate"]))
     size = F.coalesce(F.col("ha") + F.col("hb"), F.col("ds"), F.col("ss"), F.lit(WEAKEST))
-    bound = mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (size + 1))
+    bound = mean + F.lit(z) * F.sqrt(mean * (1 - mean) / (size + 1))
+    rate = found["start"]["rate"]
+    cut = rate / (rate + (1 - rate) * worse)
     # written, so that the join below spreads both sides anew and Spark can split a host with very many pages
     hosts = stage(hosts.select("host", mean.alias("posterior_mean"), bound.alias("posterior_bound")), "host-bounds")
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -135,7 +139,7 @@ def url_filter(
         .join(hosts, "host")
         .select(
             F.col("page_id").cast("long").alias("page_id"), "host", "path", text.alias("rule"),
-            F.coalesce(verdict, F.when(F.col("posterior_bound") >= least, "allow").otherwise("block")).alias("verdict"),
+            F.coalesce(verdict, F.when(F.col("posterior_bound") >= cut, "allow").otherwise("block")).alias("verdict"),
             F.round("posterior_mean", 9).alias("posterior_mean"), F.round("posterior_bound", 9).alias("posterior_bound"),
         )
     )
@@ -183,8 +187,8 @@ st AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(good), 0) + coalesce(
 j AS (SELECT p.page_id, p.host, p.path, coalesce(h.a / (h.a + h.b), d.a / (d.a + d.b), s.a / (s.a + s.b), (SELECT rate FROM st)) AS m,
     coalesce(h.a + h.b, d.strength, s.strength, 2.0) AS n
     FROM p LEFT JOIN host_post h ON h.host = p.host LEFT JOIN domain_post d ON d.domain = p.domain LEFT JOIN suffix_post s ON s.suffix = p.suffix)
-SELECT page_id, host, path, {rule} AS rule, {verdict} WHEN m - {Z} * sqrt(m * (1 - m) / (n + 1)) >= {LEAST} THEN 'allow' ELSE 'block' END AS verdict,
-    round(m, 9) AS posterior_mean, round(m - {Z} * sqrt(m * (1 - m) / (n + 1)), 9) AS posterior_bound FROM j"""
+SELECT page_id, host, path, {rule} AS rule, {verdict} WHEN m + {Z} * sqrt(m * (1 - m) / (n + 1)) >= (SELECT rate / (rate + (1 - rate) * {WORSE}) FROM st) THEN 'allow' ELSE 'block' END AS verdict,
+    round(m, 9) AS posterior_mean, round(m + {Z} * sqrt(m * (1 - m) / (n + 1)), 9) AS posterior_bound FROM j"""
 
 
 @query("op4_url_reputation", _sql())
