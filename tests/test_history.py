@@ -32,6 +32,28 @@ def test_midmonth_rows_align(spark):
     assert all(r.ts.day == 1 and r.item_id == "Total demand" for r in clean)
 
 
+def test_merged_states_equal_the_rollup_of_joined_rows(spark):
+    rows = [
+        (n, f"k{n % 7}", f"2025-{n % 3 + 1:02d}-{n % 27 + 1:02d}", float(n % 5), None if n % 11 == 0 else n / 100, None if n % 13 == 0 else f"t{n % 4}")
+        for n in range(200)
+    ] + [(900, "k1", "2026-01-01", 1.0, None, "t"), (901, "k2", "2026-01-02", 1.0, None, None), (902, "k3", "2026-02-01", 1.0, 1e-15, "t"), (903, "k4", "2026-02-01", 1.0, 1e19, "t")]
+    raw = spark.createDataFrame(rows, "n long, key string, d string, q double, price double, flag string")
+    groups = spark.createDataFrame([(f"k{i}", f"g{i % 2}") for i in range(6)], "key string, g string")  # k6 has no group
+    named = dict(date_col="d", target_col="q", drivers=["price", "flag"], order_by=["n"])
+    want = K.period_rollup(K.canonicalize(raw.join(groups, "key"), item_col="g", **named), "monthly", ["price"], ["flag"])
+    states = K.rollup_states(K.canonicalize(raw, item_col="key", **named), "monthly", ["price"], ["flag"])
+    joined = states.join(groups, F.col("item_id") == F.col("key")).withColumn("item_id", F.col("g")).drop("g", "key")
+    got = K.merge_states(joined, ["price"], ["flag"])
+    assert got.columns == want.columns
+    key = lambda r: (r.item_id, r.ts)
+    a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert len(a) == len(b) > 8 and {r.price for r in b if r.ts == dt.date(2026, 2, 1)} == {1e-15, 1e19}
+    for x, y in zip(a, b):
+        assert (x.item_id, x.ts, x.target, x.flag, x.source_rows) == (y.item_id, y.ts, y.target, y.flag, y.source_rows)
+        assert x.price == (None if y.price is None else pytest.approx(y.price, rel=1e-12))
+    assert K.merge_states(K.rollup_states(K.canonicalize(raw.limit(0), item_col="key", **named), "monthly", ["price"], ["flag"]), ["price"], ["flag"]).count() == 0
+
+
 def test_negatives_are_clipped_after_summing(spark):
     raw = spark.createDataFrame(
         [("2025-01-03", "5"), ("2025-01-09", "-8"), ("2025-02-01", "-2"), ("2025-02-02", "7"), ("bad", "1"), ("2025-02-03", "x")],

@@ -101,6 +101,36 @@ def period_rollup(df: DataFrame, freq: str, numeric: list[str] = (), text: list[
     )
 
 
+def rollup_states(df: DataFrame, freq: str, numeric: list[str] = (), text: list[str] = ()) -> DataFrame:
+    """What ``period_rollup`` needs of each item and period, as sums and newest values that merge.
+
+    Roll raw rows up by their own key, join the few states to what groups the keys, and merge: the
+    raw rows themselves are never joined.
+    """
+    check_frequency(freq)
+    aggs = [F.sum("target").alias("target"), F.count("*").alias("source_rows")]
+    for c in numeric:
+        aggs += [F.sum(F.col(c).cast("double")).alias(f"{c}__sum"), F.count(c).alias(f"{c}__n")]
+    aggs += [F.max_by(c, ROW_ORDER).alias(c) for c in text]
+    aggs += [F.max(ROW_ORDER).alias(ROW_ORDER)] if text else []
+    return df.groupBy("item_id", align_period(F.col("ts"), freq).alias("ts")).agg(*aggs)
+
+
+def _steady_sum(c: str) -> Column:
+    """Sum in fixed point plus what that leaves over, so that the order of merging does not show in the result."""
+    fixed = F.col(c).try_cast("decimal(28,12)")
+    rest = F.col(c) - F.coalesce(fixed.cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(fixed).cast("double"), F.lit(0.0)) + F.sum(rest)
+
+
+def merge_states(states: DataFrame, numeric: list[str] = (), text: list[str] = ()) -> DataFrame:
+    """States of several keys under one ``item_id``, merged to the rows of ``period_rollup``."""
+    aggs = [F.sum("target").alias("target")]
+    aggs += [(_steady_sum(f"{c}__sum") / F.nullif(F.sum(f"{c}__n"), F.lit(0))).alias(c) for c in numeric]
+    aggs += [F.max_by(c, ROW_ORDER).alias(c) for c in text]
+    return states.groupBy("item_id", "ts").agg(*aggs, F.sum("source_rows").alias("source_rows"))
+
+
 def duplicate_rows(rolled: DataFrame) -> DataFrame:
     """Source rows that shared their item and period with another row."""
     n = F.col("source_rows")
@@ -333,4 +363,5 @@ def quality_gate(df: DataFrame, settings: dict) -> DataFrame:
 
 
 def canonical_head(panel: DataFrame, n: int = 8) -> DataFrame:
+    """The first ``n`` cleaned rows, as a review shows them."""
     return panel.select("item_id", "ts", "target").orderBy("item_id", "ts").limit(n)

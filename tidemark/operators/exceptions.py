@@ -68,5 +68,7 @@ def exceptions(
     return out.drop("place", "rule")
 
 
-def worst_first(diagnostics: DataFrame) -> DataFrame:
-    return diagnostics.orderBy("quality_score", "item_id")
+def worst_first(diagnostics: DataFrame, n: int | None = None) -> DataFrame:
+    """Series by rising quality score, all or the ``n`` worst."""
+    ranked = diagnostics.orderBy("quality_score", "item_id")
+    return ranked if n is None else ranked.limit(n)

@@ -127,6 +127,11 @@ def tail_per_item(panel: DataFrame, n: int = 48) -> DataFrame:
     return panel.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= n).drop("__r")
 
 
+def tail_portfolio(panel: DataFrame, n: int = 48) -> DataFrame:
+    """The newest ``n`` dates of all items together."""
+    return panel.groupBy("ts").agg(F.sum("target").alias("target")).orderBy(F.desc("ts")).limit(n)
+
+
 def shortest_series(panel: DataFrame, cutoffs: list = ()) -> list[int]:
     """Length of the shortest item, over everything and before each cutoff date.
 

@@ -59,12 +59,14 @@ def future_covariates(
     policy: str = "require",
     date_col: str | None = None,
     item_col: str | None = None,
+    known_ahead: list[str] | None = None,
     calendar: bool = True,
 ) -> DataFrame:
     """Next periods with drivers; ``<driver>_source`` says provided, assumed or missing.
 
     ``require`` accepts no gaps, ``carry`` repeats the last observation and ``median`` uses
-    the item's median, or its most frequent value for text.
+    the item's median, or its most frequent value for text. ``known_ahead`` names the drivers whose given
+    values count; names that are not among ``drivers`` are passed over, and None stands for all of them.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -86,7 +88,8 @@ def future_covariates(
     spine = future_spine(history, freq, horizon, *facts)
     given: list[str] = []
     if future is not None and date_col:
-        rows, keys = _given(future, date_col, item_col, drivers, freq)
+        taken = drivers if known_ahead is None else [c for c in drivers if c in known_ahead]
+        rows, keys = _given(future, date_col, item_col, taken, freq)
         given = [c.removeprefix("__given_") for c in rows.columns if c.startswith("__given_")]
         spine = spine.join(rows, keys, "left")
     out = {}
@@ -140,6 +143,7 @@ def driver_coverage(future: DataFrame, drivers: list[str], policy: str) -> DataF
 
 
 def lowest_coverage(coverage: DataFrame) -> DataFrame:
+    """The coverage of the driver that is given least; null without drivers."""
     return coverage.agg(F.min("coverage_pct").alias("lowest_coverage_pct"))
 
 

@@ -39,6 +39,12 @@ def series_metadata(
     return last.select("item_id", "m.*")
 
 
+def last_rows(df: DataFrame, key: str, order_by: list[str], columns: list[str]) -> DataFrame:
+    """The last row of each key in the order given: small enough to join where the raw rows are not."""
+    newest = F.max_by(F.struct(*columns), F.struct(*order_by)).alias("m")
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(newest).select(key, "m.*")
+
+
 def dimensions(meta: DataFrame) -> DataFrame:
     """Distinct members per dimension as rows, so that no list has to fit one row."""
     names = ["category", "customer", "sku"]

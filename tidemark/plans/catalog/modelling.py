@@ -105,6 +105,17 @@ def _(spark, d):
     return X.tail_per_item(P.part_panel(spark, d)).select("item_id", "ts", "target")
 
 
+@query("tail_portfolio", sql("""
+    SELECT ts, sum(target) AS target FROM part_panel GROUP BY ts ORDER BY ts DESC LIMIT 48""", "part_panel", doubles="target"))
+def _(spark, d):
+    return X.tail_portfolio(P.part_panel(spark, d))
+
+
+@query("history_head", sql("SELECT item_id, ts, target FROM part_panel ORDER BY item_id, ts LIMIT 8", "part_panel", doubles="target"))
+def _(spark, d):
+    return K.canonical_head(P.part_panel(spark, d))
+
+
 # --- diagnostics ----------------------------------------------------------------
 
 view("part_class", """

@@ -16,15 +16,22 @@ def brand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, lines.l_partkey == parts.p_partkey)
 
 
-def brand_raw(spark, sf_dir) -> DataFrame:
-    return K.canonicalize(
-        brand_lines(spark, sf_dir), date_col="l_shipdate", target_col="l_quantity", item_col="p_brand",
+def brand_rolled(spark, sf_dir) -> DataFrame:
+    """Months of brands: lines are rolled up by part before parts bring in the brand."""
+    raw = K.canonicalize(
+        table(spark, sf_dir, "lineitem"), date_col="l_shipdate", target_col="l_quantity", item_col="l_partkey",
         drivers=["l_discount", "l_returnflag"], order_by=ORDER,
     )
+    states = K.rollup_states(K.drop_invalid(raw), "monthly", ["l_discount"], ["l_returnflag"])
+    return K.merge_states(by_part(spark, sf_dir, states, "p_brand"), ["l_discount"], ["l_returnflag"])
 
 
-def brand_rolled(spark, sf_dir) -> DataFrame:
-    return K.period_rollup(K.drop_invalid(brand_raw(spark, sf_dir)), "monthly", ["l_discount"], ["l_returnflag"])
+def by_part(spark, sf_dir, states: DataFrame, column: str) -> DataFrame:
+    """States of parts under a column of the part table; a part without one is unassigned."""
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("item_id"), F.coalesce(column, F.lit("Unassigned")).alias("group")
+    )
+    return states.join(parts, "item_id").drop("item_id").withColumnRenamed("group", "item_id")
 
 
 def line_raw(spark, sf_dir, item: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ...functions.fixed import PLAN_STATES
 from ...operators import baselines as B
+from ...operators import cleaning as K
 from ...operators import exceptions as Q
 from ...operators import folds as D
 from ...operators import future as U
@@ -56,8 +57,14 @@ for _n in ("part", "supplier"):
     FROM {_n}f_valid v JOIN {_n}f_naive n USING (fold, item_id, k)""", f"{_n}f_valid", f"{_n}f_naive")
 
 
+_LAST = ["l_linestatus", "l_returnflag", "l_extendedprice", "l_quantity"]
+
+
 def item_rows(spark, d):
-    return P.brand_lines(spark, d).select(
+    """The last line of every part with the part's own columns."""
+    last = V.last_rows(table(spark, d, "lineitem"), "l_partkey", P.ORDER, _LAST)
+    parts = table(spark, d, "part")
+    return last.join(parts, last.l_partkey == parts.p_partkey).select(
         "*", F.col("p_type").alias("production_line"), F.col("l_returnflag").alias("warehouse"),
         (F.col("l_extendedprice") / 512).alias("inventory_on_hand_tonnes"),
         (F.col("p_size") * 0.5).alias("safety_stock_tonnes"),
@@ -69,7 +76,7 @@ def item_rows(spark, d):
 def metadata(spark, d):
     return V.series_metadata(
         item_rows(spark, d), item_col="l_partkey", sku_col="p_brand", category_col="p_type",
-        customer_col="l_linestatus", order_by=P.ORDER,
+        customer_col="l_linestatus", order_by=["l_partkey"],
     )
 
 
@@ -102,9 +109,11 @@ def operations(spark, d):
         status.alias("status"), F.add_months(F.col("o_orderdate").cast("date"), 36).alias("due_date"),
         (F.col("o_totalprice") / 65536).alias("quantity"),
     )
-    capacity = P.brand_lines(spark, d).groupBy(
-        F.col("p_type").alias("production_line"), F.add_months(F.trunc("l_shipdate", "month"), 12).alias("period")
-    ).agg((F.sum("l_quantity") * 0.875).alias("available_tonnes"), F.count("*").cast("double").alias("planned_downtime_hours"))
+    month = F.trunc("l_shipdate", "month").alias("month")
+    shipped = table(spark, d, "lineitem").groupBy("l_partkey", month).agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("lines"))
+    capacity = shipped.join(part, shipped.l_partkey == part.p_partkey).groupBy(
+        F.col("p_type").alias("production_line"), F.add_months("month", 12).alias("period")
+    ).agg((F.sum("quantity") * 0.875).alias("available_tonnes"), F.sum("lines").cast("double").alias("planned_downtime_hours"))
     return {"bom": bom, "materials": materials, "open_pos": open_pos, "capacity": capacity}
 
 
@@ -136,16 +145,16 @@ view("future_steps", f"""
 
 
 def _given(spark, d):
-    late = P.brand_lines(spark, d).filter(F.col("l_shipdate") >= "2001-09-01")
-    return late.groupBy(
-        F.add_months(F.trunc("l_shipdate", "month"), 1).alias("day"), F.col("p_brand").alias("brand")
-    ).agg(F.avg("l_tax").alias("l_discount"))
+    late = table(spark, d, "lineitem").filter(F.col("l_shipdate") >= "2001-09-01")
+    raw = K.canonicalize(late, date_col="l_shipdate", target_col="l_quantity", item_col="l_partkey", drivers=["l_tax"])
+    merged = K.merge_states(P.by_part(spark, d, K.rollup_states(raw, "monthly", ["l_tax"]), "p_brand"), ["l_tax"])
+    return merged.select(F.add_months("ts", 1).alias("day"), F.col("item_id").alias("brand"), F.col("l_tax").alias("l_discount"))
 
 
-def _future(spark, d, policy):
+def _future(spark, d, policy, **more):
     return U.future_covariates(
         P.brand_panel(spark, d), _given(spark, d), drivers=["l_discount", "l_returnflag"], freq="monthly", horizon=H,
-        policy=policy, date_col="day", item_col="brand", calendar=False,
+        policy=policy, date_col="day", item_col="brand", calendar=False, **more,
     )
 
 
@@ -158,6 +167,21 @@ for _policy, _p in (("carry", "c"), ("median", "m")):
           digits=10)(lambda spark, d, _q=_policy: _future(spark, d, _q))
 
 
+@query("future_known", sql("""
+    SELECT item_id, ts, step, c_discount AS l_discount, 'assumed' AS l_discount_source, c_flag AS l_returnflag, 'assumed' AS l_returnflag_source
+    FROM future_steps""", "future_steps", doubles="l_discount", digits=10), digits=10)
+def _(spark, d):
+    """A given driver that is not named as known is assumed, and a name that is no driver changes nothing."""
+    return _future(spark, d, "carry", known_ahead=["l_returnflag", "l_tax"])
+
+
+@query("lowest_coverage", sql("""
+    SELECT least(avg(0.0::DOUBLE), round_even(count(g.l_discount) * 100.0::DOUBLE / count(*), 1)) AS lowest_coverage_pct
+    FROM future_steps s LEFT JOIN future_given g USING (item_id, ts)""", "future_steps", "future_given"))
+def _(spark, d):
+    return U.lowest_coverage(U.driver_coverage(_future(spark, d, "carry"), ["l_discount", "l_returnflag"], "carry"))
+
+
 @query("driver_coverage", sql(f"""
     SELECT driver, count(*) AS expected, count(*) FILTER (WHERE ok) AS provided, count(*) FILTER (WHERE NOT ok) AS assumed, 'carry' AS policy,
            round_even(count(*) FILTER (WHERE ok) * 100.0::DOUBLE / count(*), 1) AS coverage_pct FROM (
@@ -836,3 +860,9 @@ def _(spark, d):
     SELECT section, priority, item, reason, owner FROM (SELECT * FROM findings WHERE section = 3 ORDER BY place, rule LIMIT 14)""", "findings", bigints="section"))
 def _(spark, d):
     return Q.exceptions(diagnostics(spark, d))
+
+
+@query("quality_worst", sql("""
+    SELECT item_id, sku, demand_class, quality_score, bias_pct FROM diag ORDER BY quality_score, item_id LIMIT 20""", "diag", doubles="quality_score bias_pct"))
+def _(spark, d):
+    return Q.worst_first(diagnostics(spark, d), 20).select("item_id", "sku", "demand_class", "quality_score", "bias_pct")
