@@ -6,11 +6,14 @@ coordinate equals for two sets with the probability of their Jaccard similarity)
 1. ``buckets``: in each run all sets start in one node. A node samples one coordinate, a second one
    with probability 1/4 (1 / 0.8 on average), and deals its sets by their value there. Nodes of one
    set die. Nodes of at most ``BUCKET`` sets are done; larger ones are dealt again, up to ``DEPTH``
-   times; what is still larger then is compared in blocks. Runs sample the same coordinates, and their
-   number follows from the target recall for nodes done after two deals; deeper ones have less (see README).
+   times; what is still larger then is compared in blocks.
 2. ``compared``: all pairs of a done node are compared by their vectors inside the task; only a
    spanning tree of the similar ones leaves it. Connected trees make a cluster.
-3. ``links``: texts of a cluster are compared exactly by their shingle sets, large clusters in pairs of
+3. ``candidates``: runs are repeated until the target recall. All sets take the runs that nodes done after
+   two deals need. A set that never stood in a larger node then has found all its partners with the target
+   recall, as a partner left in such a node would have been there with it. The others take as many runs more as the deepest
+   node asks for; in these, nodes whose sets are of one cluster already die at once.
+4. ``links``: texts of a cluster are compared exactly by their shingle sets, large clusters in pairs of
    blocks. Out come links per text and again a spanning tree, never the pairs. Connected trees of exact
    links are the classes.
 
@@ -42,19 +45,38 @@ BUCKET = 96
 #: Sets in a block of a group that is larger than that and is not dealt further, and shingles in a block.
 BLOCK, BLOCK_GRAMS = 512, 1 << 19
 DEPTH = 6
-#: A pair at the threshold shares one node at least with this probability, when nodes are done after two deals.
+#: A pair at the threshold becomes a candidate with this probability.
 RECALL = 0.9999
-#: Shared coordinates that send a pair to the exact comparison: four deviations below the threshold.
-SKETCHED = SIMILAR - 4 * math.sqrt(SIMILAR * (1 - SIMILAR) / COORDINATES)
+#: Shared coordinates that send a pair to the exact comparison: five deviations below the threshold.
+SKETCHED = SIMILAR - 5 * math.sqrt(SIMILAR * (1 - SIMILAR) / COORDINATES)
 #: Bits of the bitmap of texts in clusters: 8 MB, whatever their number.
 BITS = 26
 SEED = 20260101
 
 
+def missed(runs: int, levels: int, least: float = SKETCHED) -> float:
+    """How likely a pair at the threshold is no candidate when its nodes are done after ``levels`` deals.
+
+    Runs sample the same coordinates, so they are independent only given how many of them the pair shares:
+    the sum goes over that number, and pairs below the sketch's cut are missed in any case.
+    """
+    out = 0.0
+    for k in range(COORDINATES + 1):
+        share = k / COORDINATES
+        likely = math.comb(COORDINATES, k) * SIMILAR**k * (1 - SIMILAR) ** (COORDINATES - k)
+        both = 1 - (1 - share) * (1 - share / 4 * (1 - 1 / COORDINATES))  # dealt alike by the first or the second coordinate
+        out += likely * ((1 - both**levels) ** runs if share >= least else 1)
+    return out
+
+
 def runs_for(recall: float, levels: int = 2) -> int:
-    """Runs until a pair at the threshold has shared a node, when nodes are done after ``levels`` deals."""
-    once = (1 - (1 - SIMILAR) * (1 - SIMILAR / 4)) ** levels
-    return math.ceil(math.log(1 - recall) / math.log(1 - once))
+    """The fewest runs that find a pair at the threshold with this probability when nodes are done after ``levels`` deals."""
+    if 1 - recall <= missed(1, 0):
+        raise ValueError(f"{COORDINATES} coordinates find at most {1 - missed(1, 0)} of the pairs at the threshold")
+    runs = 1
+    while missed(runs, levels) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _lowered():
@@ -90,29 +112,35 @@ def _deal(rows: DataFrame) -> DataFrame:
     deal = lambda c: F.xxhash64("node", c, F.get("sketch", c))
     second = F.pmod(F.xxhash64("node", F.lit("second")), F.lit(4)) == 0
     nodes = F.array_compact(F.array(deal(pick("a")), F.when(second & (pick("a") != pick("b")), deal(pick("b")))))
-    return rows.select("key", "sketch", F.explode(nodes).alias("node"))
+    return rows.select("key", "cluster", "sketch", F.explode(nodes).alias("node"))
 
 
-def buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """Rows (node, key, sketch): the sets of every done node. Larger ones are replicated into pairs of blocks."""
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in range(runs)]))
+def buckets(sets: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows (node, key, sketch): the sets of every done node. Larger ones are replicated into pairs of blocks.
+
+    Also the keys of the sets that stood in a larger node after two deals, if any, and the deals of the deepest
+    node. A node whose sets are all of one ``cluster`` has nothing left to find and dies.
+    """
+    roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs]))
     # the first deal needs no sketches in the shuffle: they join the sets that are left
-    rows = _deal(sets.select("key", "sketch", roots.alias("node"))).select("key", "node")
-    done = None
+    rows = _deal(sets.select("key", "cluster", "sketch", roots.alias("node"))).select("key", "cluster", "node")
+    done = deep = None
     for depth in range(1, DEPTH + 1):
-        size = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-        alive = rows.join(size, "node")
+        found = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high"))
+        alive = rows.join(found.filter(F.col("low") != F.col("high")).select("node", "size"), "node")
         if depth == 1:
-            alive = alive.join(sets, "key")
-        alive = stage(alive.select("key", "node", "size", "sketch"), "path-nodes")
+            alive = alive.join(sets.select("key", "sketch"), "key")
+        alive = stage(alive.select("key", "cluster", "node", "size", "sketch"), "path-nodes")
         small = alive.filter(F.col("size") <= BUCKET).select("node", "key", "sketch")
         done = small if done is None else done.unionByName(small)
         rows = alive.filter(F.col("size") > BUCKET)
         if not rows.take(1):
-            return done
+            return done, deep, depth
+        if depth == 2:
+            deep = rows.select("key").distinct()
         if depth < DEPTH:
             rows = _deal(rows)
-    return done.unionByName(in_blocks(rows, "node", BLOCK).select("node", "key", "sketch"))
+    return done.unionByName(in_blocks(rows, "node", BLOCK).select("node", "key", "sketch")), deep, DEPTH
 
 
 def in_blocks(rows: DataFrame, group: str, most: int, most_weight: int | None = None) -> DataFrame:
@@ -203,6 +231,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def candidates(sets: DataFrame, recall: float = RECALL) -> DataFrame:
+    """Rows (a, b): edges between candidate sets, as many as connect each cluster, from runs repeated to the target recall."""
+    runs = runs_for(recall)
+    nodes, deep, depth = buckets(sets.withColumn("cluster", F.col("key")), range(runs))
+    edges = stage(compared(nodes), "path-edges")
+    if deep is not None:
+        deep = stage(deep.join(sets, "key"), "path-deep")
+    while deep is not None and runs < runs_for(recall, depth):
+        more = range(runs, runs_for(recall, depth))
+        known = components(edges).withColumnRenamed("label", "cluster")
+        rest = stage(deep.join(known, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")), "path-deep")
+        nodes, _, deeper = buckets(rest, more)
+        edges = stage(edges.union(compared(nodes)).distinct(), "path-edges")
+        runs, depth = more.stop, max(depth, deeper)
+    return edges
+
+
 def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows (key, grams) of the texts whose key is among ``keys``: sorted distinct shingle hashes.
 
@@ -285,7 +330,7 @@ def links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def near_classes(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """Rows (key, label, n_links) of the texts that have a link; key is the md5 of the text."""
     sets = stage(sketches(docs), "sketches")
-    clusters = stage(components(compared(buckets(sets, runs_for(recall)))), "clusters")
+    clusters = stage(components(candidates(sets, recall)), "clusters")
     found = stage(links(shingle_sets(docs, clusters), similar), "links")
     counts = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     return stage(components(found.filter(F.col("a") != F.col("b"))).join(counts, "key"), "near-classes")

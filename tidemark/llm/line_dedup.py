@@ -17,8 +17,11 @@ the indexes of its own length and of up to tau shorter ones with the few substri
    with other words in them does not come out pair by pair. The distinct pairs that are left are verified
    by a banded bit-parallel edit distance, many pairs at a time.
 4. ``marks``: a line's first place by a plain aggregate; copies never meet in one task.
-5. ``classed``: documents that hold the same line or linked lines are of one class, and so are the documents these are
-   of one class with: the connected parts of document - first document of the line - first document of a linked line.
+5. ``classed``: a document is tied to an earlier one in which lines of it stand first, or lines linked to those that
+   stand first in itself, when these lines hold the share ``cover`` of its characters (each different line counted
+   once); documents of the same lines are tied in any case. Classes are the connected parts. So a line that
+   many documents share joins those of which it is a large part, not all that hold it; a share of 0 joins them all.
+6. ``line_table``: the same on the level of lines, every place with the id of its line, and links between ids.
 
 A line's id is a 64-bit hash of its characters and length. Defined cases: null texts are empty;
 empty lines are always kept; rows with the same id and text are one document and keep the same
@@ -43,6 +46,8 @@ LEAST = 1
 TAU = 2
 #: Two lines are compared by edits when the longer one has so many characters: a few edits make another word of a short one.
 NEAR = 20
+#: Share of a document's characters in lines of an earlier document that makes both one class.
+COVER = 0.5
 #: Bits of the bitmap of live hashes: 8 MB, whatever their number.
 BITS = 26
 #: Classes of characters that are counted to tell lines apart in the join.
@@ -139,11 +144,11 @@ def live_hashes(docs: DataFrame, near: int, tau: int) -> DataFrame:
 
 
 def read(docs: DataFrame, bitmap: np.ndarray, least: int, tau: int, near_least: int) -> DataFrame:
-    """One row per document: its lines as (place, id), and in full those that meet a live hash."""
+    """One row per document: its lines as (place, id, size), and in full those that meet a live hash."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    line = pa.struct([("place", pa.int32()), ("id", pa.int64())])
+    line = pa.struct([("place", pa.int32()), ("id", pa.int64()), ("size", pa.int32())])
     full = pa.struct([("id", pa.int64()), ("text", pa.string()), ("counts", pa.list_(pa.int16())), ("segments", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
-    schema = "doc_id long, row binary, lines array<struct<place:int,id:long>>, near array<struct<id:long,text:string,counts:array<smallint>,segments:array<long>,probes:array<long>>>"
+    schema = "doc_id long, row binary, lines array<struct<place:int,id:long,size:int>>, near array<struct<id:long,text:string,counts:array<smallint>,segments:array<long>,probes:array<long>>>"
 
     def passes(h: np.ndarray) -> np.ndarray:
         bits, one = shared.value, np.uint64(1)
@@ -158,7 +163,7 @@ def read(docs: DataFrame, bitmap: np.ndarray, least: int, tau: int, near_least:
                 text, start, length, row, place, sums = lines_of(part, hasher, least)
                 ids = hasher.pieces(sums, start, start + length)
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
-                lines = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64))], fields=list(line))
+                lines = pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(ids.view(np.int64)), pa.array(length.astype(np.int32))], fields=list(line))
                 _, first = np.unique(ids, return_index=True)
                 first = first[length[first] >= max(1, near_least - tau)]
                 own = indexed(sums, hasher, start[first], length[first], tau)
@@ -257,20 +262,29 @@ def edit_links(lines: DataFrame, tau: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(batches, "a long, b long")
 
 
-def _marks(docs: DataFrame, least: int, tau: int, near_least: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``marks`` with ``heads``, the first documents of a document's repeated lines, and pairs (a, b) of the first documents of linked lines."""
+def _read(docs: DataFrame, least: int, tau: int, near_least: int) -> tuple[DataFrame, DataFrame]:
+    """The staged rows of ``read`` and of ``edit_links``."""
     live = live_hashes(docs, near_least, tau)
     lines = stage(read(docs, bitmap_of(live, BITS), least, tau, near_least), "lines")
-    links = stage(edit_links(lines, tau), "line-links")
+    return lines, stage(edit_links(lines, tau), "line-links")
+
+
+def _marks(docs: DataFrame, least: int, tau: int, near_least: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``marks`` with ``chars``, of the different lines, and ``heads``, the first documents of repeated lines.
+
+    Also rows (row, head, size): a line that stands first in ``row`` is linked to one that stands first in the earlier ``head``.
+    """
+    lines, links = _read(docs, least, tau, near_least)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "place")
-    each = lines.select("doc_id", "row", F.explode("lines").alias("l")).select("doc_id", "row", "l.place", "l.id")
-    first = each.groupBy("id").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+    each = lines.select("doc_id", "row", F.explode("lines").alias("l")).select("doc_id", "row", "l.*")
+    first = each.groupBy("id").agg(F.min(rank).alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
     both = links.union(links.select("b", "a"))
     ids = both.select("a").distinct()
-    linked = stage(first.join(ids, F.col("id") == F.col("a"), "left_semi").select("id", "first"), "linked-lines")
+    linked = stage(first.join(ids, F.col("id") == F.col("a"), "left_semi").select("id", "first", "size"), "linked-lines")
     theirs = linked.select(F.col("id").alias("b"), F.col("first").alias("theirs"))
     head = F.col("first.row")
-    ends = links.join(linked.select(F.col("id").alias("a"), head.alias("x")), "a").join(linked.select(F.col("id").alias("b"), head.alias("y")), "b")
+    later = both.join(linked.withColumnRenamed("id", "a"), "a").join(theirs, "b").filter(F.col("theirs") < F.col("first"))
+    ends = later.select(head.alias("row"), F.col("theirs.row").alias("head"), "a", "size").filter(F.col("row") != F.col("head")).distinct()
     near = both.join(theirs, "b").groupBy(F.col("a").alias("id")).agg(F.min("theirs").alias("earliest"), F.count(F.lit(1)).alias("n_links"))
     seen = first.join(near, "id", "left").filter((F.col("n") > 1) | F.col("n_links").isNotNull())
     seen = seen.select("id", "first", "n_links", F.when(F.col("earliest") < F.col("first"), F.col("earliest")).alias("earlier"))
@@ -284,33 +298,44 @@ def _marks(docs: DataFrame, least: int, tau: int, near_least: int) -> tuple[Data
         F.aggregate(
             F.collect_set(F.when(F.col("n_links").isNotNull(), F.struct("place", "n_links"))), F.lit(0).cast("long"), lambda total, x: total + x["n_links"]
         ).alias("n_links"),
-        F.collect_set(F.when(F.col("row") != head, head)).alias("heads"),
+        F.collect_set(F.when(F.col("row") != head, F.struct(head.alias("head"), "id", "size"))).alias("heads"),
     )
-    rows = lines.select("doc_id", "row", F.size("lines").alias("n_lines")).join(per_row, "row", "left").select(
-        "doc_id", "row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
+    chars = F.aggregate(F.array_distinct(F.transform("lines", lambda l: F.struct(l["id"], l["size"].alias("size")))), F.lit(0).cast("long"), lambda total, l: total + l["size"])
+    rows = lines.select("doc_id", "row", F.size("lines").alias("n_lines"), chars.alias("chars"), F.when(F.size("lines") > 0, F.xxhash64("lines.id")).alias("same")).join(per_row, "row", "left").select(
+        "doc_id", "row", "n_lines", "chars", "same", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
         F.coalesce("first_docs", F.array().cast("array<long>")).alias("first_docs"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("heads", F.array().cast("array<binary>")).alias("heads"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), "heads",
     )
-    return rows, ends.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return rows, ends.drop("a")
 
 
 def marks(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
     """One row per document: its row key, counts, the places of the lines that go, and where they stand first."""
-    return _marks(docs, least, tau, near_least)[0].drop("heads")
+    return _marks(docs, least, tau, near_least)[0].drop("heads", "chars", "same")
+
+
+def line_table(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, row, place, id) of all lines, and the links (a, b), a < b, between the ids of different lines."""
+    lines, links = _read(docs, least, tau, near_least)
+    return lines.select("doc_id", "row", F.explode("lines").alias("l")).select("doc_id", "row", "l.place", "l.id"), links
 
 
-def classed(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR) -> DataFrame:
-    """The rows of ``marks`` with class_id, the smallest doc_id that is reached over shared and linked lines."""
+def classed(docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR, cover: float = 0.0) -> DataFrame:
+    """The rows of ``marks`` with class_id, the smallest doc_id of the documents reached over ties that hold the share ``cover``."""
     rows, ends = _marks(docs, least, tau, near_least)
     rows = stage(rows, "line-marks")
-    labels = components(rows.select(F.col("row").alias("a"), F.explode("heads").alias("b")).union(ends)).withColumnRenamed("key", "row")
-    named = stage(rows.drop("heads").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "line-classes")
+    each = rows.select("row", "chars", "same", "heads").dropDuplicates(["row"])  # repeated rows are one document
+    shared = each.select("row", F.explode("heads").alias("h")).select("row", "h.head", "h.size").unionByName(ends)
+    ties = shared.groupBy("row", "head").agg(F.sum("size").alias("size")).join(each.select("row", "chars"), "row")
+    ties = ties.filter(F.col("size") >= F.lit(float(cover)) * F.col("chars")).select(F.col("row").alias("a"), F.col("head").alias("b"))
+    alike = each.filter(F.col("same").isNotNull()).groupBy("same").agg(F.min("row").alias("head"))
+    copies = each.join(alike, "same").filter(F.col("row") != F.col("head")).select(F.col("row").alias("a"), F.col("head").alias("b"))
+    labels = components(ties.union(copies)).withColumnRenamed("key", "row")
+    named = stage(rows.drop("heads", "chars", "same").join(labels, "row", "left").withColumn("label", F.coalesce("label", "row")), "line-classes")
     heads = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("head"))
     return named.join(heads, "label").withColumn("class_id", F.col("head.doc_id")).drop("label", "head")
 
 
-
-
 def dedup_lines(
     docs: DataFrame, least: int = LEAST, tau: int = TAU, near_least: int = NEAR, least_kept: float = 0.0
 ) -> DataFrame:
@@ -336,6 +361,6 @@ def dedup_lines(
 
 @query("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classed(table(spark, sf_dir, "documents")).select(
+    return classed(table(spark, sf_dir, "documents"), cover=COVER).select(
         "doc_id", "class_id", "n_lines", F.size("removed").alias("n_removed"), "n_near", "n_links", "removed", "first_docs",
     )
