@@ -260,3 +260,11 @@ def test_a_run_that_was_cut_off_is_invisible_and_can_be_written_again(spark, tmp
     with pytest.raises(ValueError, match="already"):
         sinks.write_run("b", {"forecast": good}, path)
     assert sorted(r.run_id for r in sinks.committed_runs(spark, path).collect()) == ["2026", "b"]
+
+
+def test_headers_of_sheets_are_never_broadcast(spark):
+    cells = spark.createDataFrame([("b", "s", r, c, f"v{r}{c}") for r in range(4) for c in range(3)], "path string, sheet string, row int, col int, value string")
+    headers = spark.createDataFrame([("b", "s", 3, 1.0)], "path string, sheet string, header_row int, score double")
+    for made in (workbook.column_status(cells, headers), workbook.sheet_columns(cells, headers)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r["col"], r["status"]) for r in workbook.column_status(cells, headers).collect()} == {(0, "v10"), (1, "v11"), (2, "v12")}

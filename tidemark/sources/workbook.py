@@ -57,9 +57,14 @@ def detect_header(cells: DataFrame) -> DataFrame:
     return rows.groupBy("path", "sheet").agg(best.alias("b")).select("path", "sheet", F.col("b.row").alias("header_row"), "b.score")
 
 
+def _with_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """Cells with the header row of their sheet. There may be as many sheets as files allow, so their table never goes through the driver."""
+    return cells.join(headers.select("path", "sheet", "header_row").hint("merge"), ["path", "sheet"])
+
+
 def sheet_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Column names by position: ``path, sheet, col, name``; repeats get .1, .2 and so on."""
-    named = cells.join(headers.select("path", "sheet", "header_row"), ["path", "sheet"]).filter("row = header_row")
+    named = _with_header(cells, headers).filter("row = header_row")
     names = named.select("path", "sheet", "col", F.trim("value").alias("name"))
     turn = F.row_number().over(W.partitionBy("path", "sheet", "name").orderBy("col")) - 1
     return names.withColumn("__k", turn).select(
@@ -70,7 +75,7 @@ def sheet_columns(cells: DataFrame, headers: DataFrame) -> DataFrame:
 def sheet_table(cells: DataFrame, headers: DataFrame, columns: list[str]) -> DataFrame:
     """Rows below the header with the given columns, for all sheets that have them."""
     names = sheet_columns(cells, headers).filter(F.col("name").isin(columns))
-    body = cells.join(headers.select("path", "sheet", "header_row"), ["path", "sheet"]).filter("row > header_row")
+    body = _with_header(cells, headers).filter("row > header_row")
     joined = body.join(names, ["path", "sheet", "col"])
     picks = [F.max(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns]
     return joined.groupBy("path", "sheet", "row").agg(*picks)
@@ -79,7 +84,7 @@ def sheet_table(cells: DataFrame, headers: DataFrame, columns: list[str]) -> Dat
 def column_status(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """Status word per column: the row two above the header, filled to the right."""
     at = F.greatest(F.lit(0), F.col("header_row") - 2)
-    known = cells.join(headers.select("path", "sheet", "header_row"), ["path", "sheet"])
+    known = _with_header(cells, headers)
     width = known.filter("row = header_row").select("path", "sheet", "col")
     words = known.filter(F.col("row") == at).select("path", "sheet", "col", F.lower(F.trim("value")).alias("word"))
     both = width.join(words, ["path", "sheet", "col"], "full_outer")
