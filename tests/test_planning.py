@@ -229,3 +229,20 @@ def test_supply_position_actions(spark):
     assert {k: r.action for k, r in out.items()} == {
         "a": "Expedite supply", "b": "Expedite + add capacity", "c": "Review schedule", "d": "Replenish stock", "e": "No action"}
     assert out["c"].days_cover == pytest.approx(80 / (20 / 30)) and out["e"].capacity_use_pct is None
+
+
+def test_scenarios_are_read_from_one_written_forecast(spark, monkeypatch):
+    from tidemark.plans.catalog import planning as N
+    from tidemark.plans.catalog.registry import RAW
+
+    columns = "item_id string, ts date, baseline_mean double, mean double, p10 double, p50 double, p90 double"
+    rows = spark.createDataFrame([(i, month(k), 4.0, 4.0, 3.0, 4.0, 6.0) for i in ("a", "b") for k in range(3)], columns)
+    written = []
+    monkeypatch.setattr(N, "plain_forecast", lambda *_: rows)
+    monkeypatch.setattr(N, "metadata", lambda *_: spark.createDataFrame([("a", 9.0), ("b", 1.0)], "item_id string, inventory_on_hand_tonnes double"))
+    monkeypatch.setattr(N, "stage", lambda df, name: (written.append(name), df)[1])
+    got = {r["run_id"]: (r["total"], r["baseline"], r["change_pct"]) for r in RAW["scenario_compare"](spark, "").collect()}
+    assert got == {"base": (24.0, 24.0, None), "up": (30.0, 24.0, 25.0), "down": (12.0, 24.0, -50.0)}
+    one = RAW["scenario_summary"](spark, "").first()
+    assert (one["closing_stock"], one["total"], one["low"], one["high"]) == (2.0, 24.0, 18.0, 36.0)
+    assert written == ["plain", "plain"]
