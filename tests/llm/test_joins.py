@@ -137,3 +137,15 @@ def test_pairs_in_deep_nodes_are_found(spark, monkeypatch):
     at = [(label.get(bytes([0]) + p.to_bytes(2, "big")), label.get(bytes([1]) + p.to_bytes(2, "big"))) for p in range(pairs)]
     assert all(a is not None and a == b for a, b in at)
     assert len({a for a, _ in at}) > pairs / 2  # the family as a whole is not one cluster
+
+
+def test_a_large_cluster_is_told_once_and_not_once_a_run(spark, monkeypatch):
+    r, n, c = np.random.default_rng(5), 90, chosen_path.COORDINATES
+    base, told = r.integers(0, 1 << 30, c), []
+    rows = [(i.to_bytes(2, "big"), np.where(r.random(c) < 0.95, base, r.integers(0, 1 << 30, c)).tolist()) for i in range(n)]
+    compared = chosen_path.compared
+    monkeypatch.setattr(chosen_path, "compared", lambda nodes: told.append(compared(nodes).count()) or compared(nodes))
+    sets = spark.createDataFrame(rows, "key binary, sketch array<int>")
+    labels = chosen_path.components(chosen_path.candidates(sets)).collect()
+    assert len(labels) == n and len({bytes(r["label"]) for r in labels}) == 1
+    assert sum(told) < 1.5 * n

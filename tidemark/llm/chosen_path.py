@@ -7,10 +7,11 @@ coordinate equals for two sets with the probability of their Jaccard similarity)
    with probability 1/4 (1 / 0.8 on average), and deals its sets by their value there. Nodes of one
    set die. Nodes of at most ``BUCKET`` sets are done; larger ones are dealt again, up to ``DEPTH``
    times; what is still larger then is compared in blocks.
-2. ``compared``: all pairs of a done node are compared by their vectors inside the task; only a
-   spanning tree of the similar ones leaves it. Connected trees make a cluster.
+2. ``compared``: pairs of a done node are compared by their vectors inside the task; only a
+   spanning tree of the similar ones leaves it, and of sets known to be of one cluster no edge. Connected trees make a cluster.
 3. ``candidates``: runs are repeated until the target recall. All sets take the runs that nodes done after
-   two deals need. A set that never stood in a larger node then has found all its partners with the target
+   two deals need; the clusters of the first ``FIRST`` runs are known to the others, so a large cluster is
+   told once and not once a run. A set that never stood in a larger node then has found all its partners with the target
    recall, as a partner left in such a node would have been there with it. The others take as many runs more as the deepest
    node asks for; in these, nodes whose sets are of one cluster already die at once.
 4. ``links``: texts of a cluster are compared exactly by their shingle sets, large clusters in pairs of
@@ -45,6 +46,8 @@ BUCKET = 96
 #: Sets in a block of a group that is larger than that and is not dealt further, and shingles in a block.
 BLOCK, BLOCK_GRAMS = 512, 1 << 19
 DEPTH = 6
+#: Runs that are made before any cluster is known.
+FIRST = 2
 #: A pair at the threshold becomes a candidate with this probability.
 RECALL = 0.9999
 #: Shared coordinates that send a pair to the exact comparison: five deviations below the threshold.
@@ -116,7 +119,7 @@ def _deal(rows: DataFrame) -> DataFrame:
 
 
 def buckets(sets: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None, int]:
-    """Rows (node, key, sketch): the sets of every done node. Larger ones are replicated into pairs of blocks.
+    """Rows (node, key, cluster, sketch): the sets of every done node. Larger ones are replicated into pairs of blocks.
 
     Also the keys of the sets that stood in a larger node after two deals, if any, and the deals of the deepest
     node. A node whose sets are all of one ``cluster`` has nothing left to find and dies.
@@ -131,7 +134,7 @@ def buckets(sets: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None,
         if depth == 1:
             alive = alive.join(sets.select("key", "sketch"), "key")
         alive = stage(alive.select("key", "cluster", "node", "size", "sketch"), "path-nodes")
-        small = alive.filter(F.col("size") <= BUCKET).select("node", "key", "sketch")
+        small = alive.filter(F.col("size") <= BUCKET).select("node", "key", "cluster", "sketch")
         done = small if done is None else done.unionByName(small)
         rows = alive.filter(F.col("size") > BUCKET)
         if not rows.take(1):
@@ -140,7 +143,7 @@ def buckets(sets: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None,
             deep = rows.select("key").distinct()
         if depth < DEPTH:
             rows = _deal(rows)
-    return done.unionByName(in_blocks(rows, "node", BLOCK).select("node", "key", "sketch")), deep, DEPTH
+    return done.unionByName(in_blocks(rows, "node", BLOCK).select("node", "key", "cluster", "sketch")), deep, DEPTH
 
 
 def in_blocks(rows: DataFrame, group: str, most: int, most_weight: int | None = None) -> DataFrame:
@@ -192,28 +195,33 @@ def _groups(source, group: str):
 
 
 def compared(nodes: DataFrame, least: float = SKETCHED) -> DataFrame:
-    """Spanning edges (a, b) of the similar sets of each node, by their sketches."""
+    """Spanning edges (a, b) of the similar sets of each node, by their sketches; none between sets of one cluster."""
 
     def batches(source):
         for batch in _groups(source, "node"):
             node = batch.column("node").to_numpy(zero_copy_only=False)
             sketch = batch.column("sketch").flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+            place = np.concatenate([[0], np.cumsum(node[1:] != node[:-1])])
+            cluster = batch.column("cluster").dictionary_encode().indices.to_numpy()
+            _, head, member = np.unique(place * len(node) + cluster, return_index=True, return_inverse=True)
+            head = head[member]  # the first set of the same cluster in the node
             left, right = [], []
             for d in range(1, len(node)):
-                i = np.flatnonzero(node[:-d] == node[d:])
-                if not len(i):
+                same = node[:-d] == node[d:]
+                if not same.any():
                     break
+                i = np.flatnonzero(same & (head[:-d] != head[d:]))
                 for at in range(0, len(i), 65536):
                     part = i[at : at + 65536]
                     near = part[(sketch[part] == sketch[part + d]).mean(axis=1) >= least]
                     left.append(near), right.append(near + d)
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            label = _labels(len(node), a, b)
+            label = _labels(len(node), head[a], head[b])
             rows = np.flatnonzero(label != np.arange(len(node)))
             key = batch.column("key")
             yield pa.record_batch([key.take(pa.array(rows)), key.take(pa.array(label[rows]))], names=["a", "b"])
 
-    dealt = nodes.select("node", "key", "sketch").repartition("node").sortWithinPartitions("node")
+    dealt = nodes.select("node", "key", "cluster", "sketch").repartition("node").sortWithinPartitions("node", "key")
     return dealt.mapInArrow(batches, "a binary, b binary").distinct()
 
 
@@ -231,18 +239,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def clustered(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """The sets with the cluster that the edges connect them to, or their own."""
+    known = components(edges).withColumnRenamed("label", "cluster")
+    return stage(sets.join(known, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")), "path-clusters")
+
+
 def candidates(sets: DataFrame, recall: float = RECALL) -> DataFrame:
     """Rows (a, b): edges between candidate sets, as many as connect each cluster, from runs repeated to the target recall."""
     runs = runs_for(recall)
-    nodes, deep, depth = buckets(sets.withColumn("cluster", F.col("key")), range(runs))
+    first = min(FIRST, runs)
+    nodes, deep, depth = buckets(sets.withColumn("cluster", F.col("key")), range(first))
     edges = stage(compared(nodes), "path-edges")
+    if first < runs:
+        nodes, late, deeper = buckets(clustered(sets, edges), range(first, runs))
+        edges = stage(edges.union(compared(nodes)).distinct(), "path-edges")
+        found = [d for d in (deep, late) if d is not None]
+        deep, depth = found[0].union(found[-1]).distinct() if found else None, max(depth, deeper)
     if deep is not None:
         deep = stage(deep.join(sets, "key"), "path-deep")
     while deep is not None and runs < runs_for(recall, depth):
         more = range(runs, runs_for(recall, depth))
-        known = components(edges).withColumnRenamed("label", "cluster")
-        rest = stage(deep.join(known, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")), "path-deep")
-        nodes, _, deeper = buckets(rest, more)
+        nodes, _, deeper = buckets(clustered(deep, edges), more)
         edges = stage(edges.union(compared(nodes)).distinct(), "path-edges")
         runs, depth = more.stop, max(depth, deeper)
     return edges
