@@ -386,3 +386,12 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     known = Tokenizer.from_file(bpe_lexicon.tokenizer_path())
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
     assert all(r["ids"] == known.encode(texts[r["doc_id"]], add_special_tokens=False).ids for r in after.collect())
+
+
+def test_ascii_texts_are_split_alike_without_the_slow_pattern(monkeypatch):
+    rules = bpe_lexicon.Rules(open(bpe_lexicon.tokenizer_path(), encoding="utf-8").read())
+    r, pool = random.Random(4), [*map(chr, range(128)), "'s", "'ll", "don't", "word", "12", "_", "  "]
+    texts = ["", *pool, *("".join(r.choices(pool, k=r.randint(1, 30))) for _ in range(3000))]
+    assert all(rules.plain_words(t) == rules.find(t.lower()) for t in texts)
+    monkeypatch.setattr(rules, "find", None)
+    assert rules.plain_words("It's 10\x1c_ok!") == ["it", "'s", "1", "0", "\x1c_", "ok", "!"]

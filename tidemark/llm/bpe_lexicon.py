@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import io
 import json
+import re
 import unicodedata
 from collections import Counter
 
@@ -39,6 +40,9 @@ STORE_WORDS = 300_000
 LONG_WORD = 64
 #: Words counted before a task hands its counts on.
 COUNT_WORDS = 200_000
+#: How a word tokenizer splits, and what that comes to for lower-case ASCII texts, where ``re`` finds it faster.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_SPLIT = r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9]+"
 
 
 def byte_letters() -> list[str]:
@@ -78,14 +82,15 @@ class Rules:
         self.pairs = np.array([k for k, _ in found]), np.array([r for _, r in found]), by_rank
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.find = regex.compile(split["pattern"]["Regex"], regex.V1).findall
+        self.find_ascii = re.compile(ASCII_SPLIT).findall if split["pattern"]["Regex"] == SPLIT else self.find
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split if self.special else None
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).findall if self.special else None
 
     def plain_words(self, text: str) -> list[str]:
         """Words of a text without special tokens: NFC, lower case by character, split."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.find(text.lower())
+        if text.isascii():
+            return self.find_ascii(text.lower())
+        return self.find(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def words(self, text: str) -> list[str]:
         """All words; a special token stands as a word that starts with a zero byte."""
