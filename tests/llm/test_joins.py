@@ -149,3 +149,23 @@ def test_a_large_cluster_is_told_once_and_not_once_a_run(spark, monkeypatch):
     labels = chosen_path.components(chosen_path.candidates(sets)).collect()
     assert len(labels) == n and len({bytes(r["label"]) for r in labels}) == 1
     assert sum(told) < 1.5 * n
+
+
+def test_a_few_sets_beside_a_known_cluster_are_compared_at_once(spark):
+    """Sets that share much with a large known cluster but are not of it keep no node of it alive."""
+    r, n, c = np.random.default_rng(8), 1500, chosen_path.COORDINATES
+    base = r.integers(0, 1 << 30, c)
+    like = lambda share: np.where(r.random(c) < share, base, r.integers(0, 1 << 30, c)).tolist()
+    rows = [(b"m" + i.to_bytes(2, "big"), like(0.99), b"m") for i in range(n)]
+    rows += [(b"s" + i.to_bytes(2, "big"), like(0.7), b"s" + i.to_bytes(2, "big")) for i in range(40)]
+    sets = spark.createDataFrame(rows, "key binary, sketch array<int>, cluster binary")
+    nodes, deep, depth = chosen_path.buckets(sets, range(3))
+    assert depth == 1 and deep is None
+    assert nodes.count() < 3 * 2 * len(rows)
+
+
+def test_clusters_known_are_connected_and_not_told_anew(spark):
+    sets = spark.createDataFrame([(b"a", b"a"), (b"b", b"a"), (b"c", b"c"), (b"d", b"d"), (b"e", b"d"), (b"f", b"f")], "key binary, cluster binary")
+    edges = spark.createDataFrame([(b"b", b"c"), (b"e", b"d")], "a binary, b binary")
+    got = {bytes(r["key"]): bytes(r["cluster"]) for r in chosen_path.clustered(sets, edges).collect()}
+    assert got == {b"a": b"a", b"b": b"a", b"c": b"a", b"d": b"d", b"e": b"d", b"f": b"f"}

@@ -5,15 +5,15 @@ coordinate equals for two sets with the probability of their Jaccard similarity)
 
 1. ``buckets``: in each run all sets start in one node. A node samples one coordinate, a second one
    with probability 1/4 (1 / 0.8 on average), and deals its sets by their value there. Nodes of one
-   set die. Nodes of at most ``BUCKET`` sets are done; larger ones are dealt again, up to ``DEPTH``
-   times; what is still larger then is compared in blocks.
+   set die. Nodes with no more pairs to compare than ``BUCKET`` sets have are done: sets of one known cluster
+   need no comparison. The others are dealt again, up to ``DEPTH`` times; what is left then is compared in blocks.
 2. ``compared``: pairs of a done node are compared by their vectors inside the task; only a
    spanning tree of the similar ones leaves it, and of sets known to be of one cluster no edge. Connected trees make a cluster.
-3. ``candidates``: runs are repeated until the target recall. All sets take the runs that nodes done after
-   two deals need; the clusters of the first ``FIRST`` runs are known to the others, so a large cluster is
-   told once and not once a run. A set that never stood in a larger node then has found all its partners with the target
-   recall, as a partner left in such a node would have been there with it. The others take as many runs more as the deepest
-   node asks for; in these, nodes whose sets are of one cluster already die at once.
+3. ``candidates``: runs are repeated until the target recall. The clusters of the first ``FIRST`` runs are known to the
+   others, so a large cluster is told once and not once a run, nor dealt on for a few other sets beside it. All sets take
+   the further runs that nodes done after two deals need. A set that never stood in a larger node then has found all its
+   partners with the target recall, as a partner left in such a node would have been there with it. The others take as
+   many runs more as nodes done after three deals need, those of them that are left then the runs of four deals, and so on.
 4. ``links``: texts of a cluster are compared exactly by their shingle sets, large clusters in pairs of
    blocks. Out come links per text and again a spanning tree, never the pairs. Connected trees of exact
    links are the classes.
@@ -41,8 +41,8 @@ from .words import Hasher, shingles, slices, utf8, words
 
 WORDS, SIMILAR = 5, 0.8
 COORDINATES = 64
-#: Sets that are compared pair by pair in one place.
-BUCKET = 96
+#: Sets that are compared pair by pair in one place; more, up to ``CROWD`` times as many, if clusters leave no more pairs.
+BUCKET, CROWD = 1024, 4
 #: Sets in a block of a group that is larger than that and is not dealt further, and shingles in a block.
 BLOCK, BLOCK_GRAMS = 512, 1 << 19
 DEPTH = 6
@@ -57,9 +57,11 @@ BITS = 26
 SEED = 20260101
 
 
-def missed(runs: int, levels: int, least: float = SKETCHED) -> float:
+def missed(runs: int, levels: int, least: float = SKETCHED, made: tuple = ()) -> float:
     """How likely a pair at the threshold is no candidate when its nodes are done after ``levels`` deals.
 
+    ``made`` has further runs as pairs of their number and deals.
+
     Runs sample the same coordinates, so they are independent only given how many of them the pair shares:
     the sum goes over that number, and pairs below the sketch's cut are missed in any case.
     """
@@ -68,16 +70,16 @@ def missed(runs: int, levels: int, least: float = SKETCHED) -> float:
         share = k / COORDINATES
         likely = math.comb(COORDINATES, k) * SIMILAR**k * (1 - SIMILAR) ** (COORDINATES - k)
         both = 1 - (1 - share) * (1 - share / 4 * (1 - 1 / COORDINATES))  # dealt alike by the first or the second coordinate
-        out += likely * ((1 - both**levels) ** runs if share >= least else 1)
+        out += likely * (math.prod((1 - both**deals) ** n for n, deals in ((runs, levels), *made)) if share >= least else 1)
     return out
 
 
-def runs_for(recall: float, levels: int = 2) -> int:
-    """The fewest runs that find a pair at the threshold with this probability when nodes are done after ``levels`` deals."""
+def runs_for(recall: float, levels: int = 2, made: tuple = ()) -> int:
+    """The fewest runs, besides those ``made``, that find a pair at the threshold with this probability when nodes are done after ``levels`` deals."""
     if 1 - recall <= missed(1, 0):
         raise ValueError(f"{COORDINATES} coordinates find at most {1 - missed(1, 0)} of the pairs at the threshold")
-    runs = 1
-    while missed(runs, levels) > 1 - recall:
+    runs = 0
+    while missed(runs, levels, made=made) > 1 - recall:
         runs += 1
     return runs
 
@@ -121,8 +123,9 @@ def _deal(rows: DataFrame) -> DataFrame:
 def buckets(sets: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None, int]:
     """Rows (node, key, cluster, sketch): the sets of every done node. Larger ones are replicated into pairs of blocks.
 
-    Also the keys of the sets that stood in a larger node after two deals, if any, and the deals of the deepest
-    node. A node whose sets are all of one ``cluster`` has nothing left to find and dies.
+    Also the sets that stood in a larger node after two deals or more, if any, each with the most such deals, and the
+    deals of the deepest node. A node whose sets are all of one ``cluster`` has nothing left to find and dies; one with few sets beside a
+    large cluster is done.
     """
     roots = F.explode(F.array(*[F.xxhash64(F.lit(f"run {r}")) for r in runs]))
     # the first deal needs no sketches in the shuffle: they join the sets that are left
@@ -138,12 +141,28 @@ def buckets(sets: DataFrame, runs: range) -> tuple[DataFrame, DataFrame | None,
         done = small if done is None else done.unionByName(small)
         rows = alive.filter(F.col("size") > BUCKET)
         if not rows.take(1):
-            return done, deep, depth
-        if depth == 2:
-            deep = rows.select("key").distinct()
+            break
+        few = stage(_few_pairs(rows), "path-few")
+        done = done.unionByName(rows.join(few, "node", "left_semi").select("node", "key", "cluster", "sketch"))
+        rows = rows.join(few, "node", "left_anti")
+        if not rows.take(1):
+            break
+        if depth >= 2:
+            left = rows.select("key", F.lit(depth).alias("deals"))
+            deep = left if deep is None else deep.union(left)
         if depth < DEPTH:
             rows = _deal(rows)
-    return done.unionByName(in_blocks(rows, "node", BLOCK).select("node", "key", "cluster", "sketch")), deep, DEPTH
+    else:
+        done = done.unionByName(in_blocks(rows, "node", BLOCK).select("node", "key", "cluster", "sketch"))
+    return done, None if deep is None else deep.groupBy("key").agg(F.max("deals").alias("deals")), depth
+
+
+def _few_pairs(rows: DataFrame) -> DataFrame:
+    """The nodes with no more pairs of sets of different clusters than ``BUCKET`` sets have."""
+    parts = rows.groupBy("node", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    nodes = parts.groupBy("node").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("alike"))
+    pairs = (F.col("size") * F.col("size") - F.col("alike")) / 2
+    return nodes.filter((pairs <= BUCKET * (BUCKET - 1) / 2) & (F.col("size") <= CROWD * BUCKET)).select("node")
 
 
 def in_blocks(rows: DataFrame, group: str, most: int, most_weight: int | None = None) -> DataFrame:
@@ -240,30 +259,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def clustered(sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """The sets with the cluster that the edges connect them to, or their own."""
-    known = components(edges).withColumnRenamed("label", "cluster")
-    return stage(sets.join(known, "key", "left").withColumn("cluster", F.coalesce("cluster", "key")), "path-clusters")
+    """The sets with the cluster that the edges connect theirs to, or their own: only clusters are connected, not sets anew."""
+    of = lambda c: sets.select(F.col("key").alias(c), F.col("cluster").alias(f"{c}_cluster"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").filter(F.col("a_cluster") != F.col("b_cluster"))
+    known = components(between.select(F.col("a_cluster").alias("a"), F.col("b_cluster").alias("b")))
+    known = known.withColumnRenamed("key", "cluster")
+    joined = sets.join(known, "cluster", "left").withColumn("cluster", F.coalesce("label", "cluster")).drop("label")
+    return stage(joined.select(*sets.columns), "path-clusters")
+
+
+def repeated(sets: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Edges between candidate sets, as many as connect each cluster, from runs repeated to the target recall; the sets with their ``cluster``."""
+    sets = sets.withColumn("cluster", F.col("key"))
+    nodes, _, depth = buckets(sets, range(FIRST))
+    edges, made = stage(compared(nodes), "path-edges"), ((FIRST, depth),)
+    sets = clustered(sets, edges)
+    runs, rest, deep = 0, sets, None
+    for deals in range(2, DEPTH + 1):
+        more = runs_for(recall, deals, made) - runs
+        if not more:
+            continue
+        nodes, left, _ = buckets(rest, range(FIRST + runs, FIRST + runs + more))
+        new = stage(compared(nodes), "path-edges")
+        runs += more
+        if new.take(1):
+            edges, sets = edges.union(new), clustered(sets, new)
+        if left is not None:
+            deep = stage((left if deep is None else deep.union(left)).groupBy("key").agg(F.max("deals").alias("deals")), "path-deep")
+        rest = None if deep is None else stage(sets.join(deep.filter(F.col("deals") >= deals).select("key"), "key"), "path-rest")
+        if rest is None or not rest.take(1):
+            break
+    return edges, sets
 
 
 def candidates(sets: DataFrame, recall: float = RECALL) -> DataFrame:
-    """Rows (a, b): edges between candidate sets, as many as connect each cluster, from runs repeated to the target recall."""
-    runs = runs_for(recall)
-    first = min(FIRST, runs)
-    nodes, deep, depth = buckets(sets.withColumn("cluster", F.col("key")), range(first))
-    edges = stage(compared(nodes), "path-edges")
-    if first < runs:
-        nodes, late, deeper = buckets(clustered(sets, edges), range(first, runs))
-        edges = stage(edges.union(compared(nodes)).distinct(), "path-edges")
-        found = [d for d in (deep, late) if d is not None]
-        deep, depth = found[0].union(found[-1]).distinct() if found else None, max(depth, deeper)
-    if deep is not None:
-        deep = stage(deep.join(sets, "key"), "path-deep")
-    while deep is not None and runs < runs_for(recall, depth):
-        more = range(runs, runs_for(recall, depth))
-        nodes, _, deeper = buckets(clustered(deep, edges), more)
-        edges = stage(edges.union(compared(nodes)).distinct(), "path-edges")
-        runs, depth = more.stop, max(depth, deeper)
-    return edges
+    """Rows (a, b): the edges of ``repeated``."""
+    return repeated(sets, recall)[0]
 
 
 def shingle_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -348,7 +379,9 @@ def links(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def near_classes(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """Rows (key, label, n_links) of the texts that have a link; key is the md5 of the text."""
     sets = stage(sketches(docs), "sketches")
-    clusters = stage(components(candidates(sets, recall)), "clusters")
+    edges, known = repeated(sets, recall)
+    joined = edges.select(F.col("a").alias("key")).union(edges.select("b")).distinct()
+    clusters = stage(known.select("key", F.col("cluster").alias("label")).join(joined, "key"), "clusters")
     found = stage(links(shingle_sets(docs, clusters), similar), "links")
     counts = found.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n_links"))
     return stage(components(found.filter(F.col("a") != F.col("b"))).join(counts, "key"), "near-classes")
