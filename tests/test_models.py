@@ -271,3 +271,24 @@ def test_calendar_columns_are_features(spark):
     panel = X.with_position(panel_of(spark, {"A": range(30)}).withColumns(calendar_columns("monthly")))
     frame = X.direct_frame(panel, [1], 2, list(calendar_columns("monthly")))
     assert set(calendar_columns("monthly")) <= set(G.feature_columns(frame)[0])
+
+
+def test_exponential_means_over_batches_gaps_and_nulls(spark):
+    r = random.Random(4)
+    rows = [(f"i{i}", dt.date(2000, 1, 1) + dt.timedelta(days=d), None if r.random() < 0.1 else r.random() * 9) for i in range(9) for d in range(i * 11)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = X.add_ewm(spark.createDataFrame(rows, "item_id string, ts date, target double")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    held = {}
+    for item, _, y in rows:
+        held.setdefault(item, []).append(y)
+    for g in got:
+        for span in (3, 6, 12):
+            past = [y for y in held[g["item_id"]][max(0, g["idx"] - 3 * span) : g["idx"]] if y is not None]
+            want = past[0] if past else None
+            for y in past[1:]:
+                want = 2.0 / (span + 1.0) * y + (1.0 - 2.0 / (span + 1.0)) * want
+            assert g[f"ewm_{span}"] == want
