@@ -149,3 +149,14 @@ def test_unknown_arguments_are_refused(spark):
         K.period_rollup(df, "yearly")
     with pytest.raises(ValueError):
         K.canonicalize(df, date_col="nope", target_col="target")
+
+
+def test_more_rows_make_more_tasks_of_whole_items(spark, monkeypatch):
+    monkeypatch.setattr(K, "TASK_ROWS", 20)
+    rows = [(f"i{i}", dt.date(2000, 1, 1) + dt.timedelta(days=3 * d), float(d)) for i in range(100) for d in range(10)]
+    rolled = K.whole_items(spark.createDataFrame(rows, "item_id string, ts date, target double"))
+    assert rolled.rdd.getNumPartitions() == 50
+    panel = K.winsorize(K.regularize(rolled, "daily")).withColumn("task", F.spark_partition_id())
+    places = panel.groupBy("item_id").agg(F.count_distinct("task").alias("n"), F.count("*").alias("rows")).collect()
+    assert len(places) == 100 and {(p["n"], p["rows"]) for p in places} == {(1, 28)}
+    assert panel.select("task").distinct().count() > 30

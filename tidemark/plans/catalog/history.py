@@ -69,7 +69,7 @@ def _(spark, d):
         drivers=["l_tax", "l_linestatus"], order_by=P.ORDER,
     )
     rolled = K.period_rollup(K.drop_invalid(raw), "monthly", ["l_tax"], ["l_linestatus"])
-    full = K.regularize(rolled, "monthly", "auto", ["l_tax", "l_linestatus"])
+    full = K.regularize(K.whole_items(rolled), "monthly", "auto", ["l_tax", "l_linestatus"])
     return K.fill_drivers(full, ["l_tax"], ["l_linestatus"]).select("item_id", "ts", "l_tax", "l_linestatus")
 
 
