@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.periods import calendar_columns
 from tidemark.functions.quantiles import exact_quantile
+from tidemark.functions import series_fits
 from tidemark.functions.series_fits import forecast_batch
 from tidemark.operators import baselines as B
 from tidemark.operators import ensemble as E
@@ -119,6 +120,37 @@ def test_batches_do_not_mix_series():
             assert a == pytest.approx(b, rel=1e-6)
 
 
+def test_fits_before_the_search_take_all_series_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    many = [np.abs(rng.normal(50, 10, 30)) for _ in range(20)]
+    slopes = series_fits._slopes(np.array(many))
+    assert slopes == pytest.approx([np.polyfit(np.arange(30), y, 1)[0] for y in many])
+
+    def one_by_one(*_args):
+        raise AssertionError("a fit for a single series")
+
+    monkeypatch.setattr(np, "polyfit", one_by_one)
+    monkeypatch.setattr(np, "convolve", one_by_one)
+    for kind in ("AutoETS", "Theta"):
+        assert all(np.isfinite(v).all() for v in forecast_batch(kind, many, [4] * 20, 12))
+
+
+@pytest.mark.parametrize("order", [(1, 1, 0), (1, 1, 1), (2, 1, 0), (1, 0, 1), (0, 1, 2)])
+def test_grid_errors_equal_those_of_each_candidate(order):
+    rng = np.random.default_rng(6)
+    first = np.array([0, 0, 4, 9])
+    w = np.where(np.arange(30)[None] >= first[:, None], rng.normal(0, 3, (4, 30)), 0.0)
+    w[1, :-1] = 0.0  # every candidate is as good as any other
+    k = order[0] + order[2]
+    grid = np.stack(np.meshgrid(*[np.linspace(-0.95, 0.95, 7)] * k, indexing="ij"), -1).reshape(-1, k)
+    cand = np.broadcast_to(grid[None], (4, *grid.shape))
+    each, _, _ = series_fits._arma_sse(w, first, *series_fits._split(cand, order))
+    want = np.where(series_fits._stable(cand, order), each, np.inf)
+    got = series_fits._grid_sse(w, first, cand, order)
+    assert got == pytest.approx(want, rel=1e-9)
+    assert (got.argmin(axis=1) == want.argmin(axis=1)).all() and (got[1] == want[1]).all()
+
+
 def test_worker_functions_need_no_installed_package(tmp_path):
     (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(forecast_batch))
     code = (
