@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.periods import calendar_columns
 from tidemark.functions.quantiles import exact_quantile
 from tidemark.functions import series_fits
+from tidemark.functions.fixed import CROSTON_ALPHA, TSB_ALPHA, TSB_BETA
 from tidemark.functions.series_fits import forecast_batch
 from tidemark.operators import baselines as B
 from tidemark.operators import ensemble as E
@@ -151,6 +152,30 @@ def test_grid_errors_equal_those_of_each_candidate(order):
     assert (got.argmin(axis=1) == want.argmin(axis=1)).all() and (got[1] == want[1]).all()
 
 
+def test_recursions_of_a_batch_keep_gaps_and_lengths(spark):
+    series = {"null": None, "empty": [], "gap": [0.0, 4.0, None, 0.0, 2.0, None, 0.0], "one": [3.0], "none": [0.0, None], "long": [0.0, 5.0] * 9}
+    rows = spark.createDataFrame([(k, v) for k, v in series.items()], "item string, y array<double>").coalesce(1)
+    made = rows.select("item", B.croston_values(F.col("y"), F.lit(2)).alias("c"), B.tsb_values(F.col("y"), F.lit(2)).alias("t"))
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.item: r for r in made.collect()}
+    for name, y in series.items():
+        z, p, gap, y = None, 1.0, 1.0, y or []
+        sales = [v for v in y if v]
+        size, share = (sales or [0.0])[0], min(1.0, max(0.01, len(sales) / max(len(y), 1)))
+        for v in y:
+            if v and z is not None:
+                z, p = CROSTON_ALPHA * v + (1 - CROSTON_ALPHA) * z, CROSTON_ALPHA * gap + (1 - CROSTON_ALPHA) * p
+            elif v:
+                z = v
+            elif z is None:
+                p += 1
+            gap = gap + 1 if z is not None and v == 0 else 1.0
+            size = TSB_ALPHA * v + (1 - TSB_ALPHA) * size if v else size
+            share = (TSB_BETA if v else 0.0) + (1 - TSB_BETA) * share
+        assert got[name].c == pytest.approx([(z or 0.0) / p] * 2), name
+        assert got[name].t == pytest.approx([size * share] * 2), name
+
+
 def test_worker_functions_need_no_installed_package(tmp_path):
     (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps(forecast_batch))
     code = (
