@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tidemark.operators import monitoring as O
 from tidemark.operators import rollups as V
 from tidemark.operators import scenarios as C
 from tidemark.operators import supply as Y
+from tidemark.plans.catalog import all_oracles, all_queries
 
 
 def month(i):
@@ -166,6 +168,21 @@ def test_drift_reasons(spark):
     assert not out["r3"].retrain
 
 
+def test_run_list_holds_every_run(spark, tmp_path):
+    """Thirty months of one part: the eighteen after the first year are runs."""
+    lines = [(k, 1, 7, 3, 10.0 + k % 5, 100.0, month(k)) for k in range(30)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_shipdate date"
+    spark.createDataFrame(lines, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = all_queries()["run_list"](spark, str(tmp_path))
+    wanted = [f"run-{month(k):%Y-%m}" for k in reversed(range(12, 30))]
+    assert [r.run_id for r in out.collect()] == wanted
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        cur = con.execute(all_oracles()["run_list"])
+        at = [c[0] for c in cur.description].index("run_id")
+        assert sorted(r[at] for r in cur.fetchall()) == sorted(wanted)
+
+
 def test_gates(spark):
     bom = spark.createDataFrame([("A", "M", 1.0), ("A", "M", -1.0), ("B", "X", None)], "sku string, material_id string, quantity_per_tonne double")
     materials = spark.createDataFrame([("M", "m", 1.0, 1.0, 1.0, float("inf"))], "material_id string, material_name string, inventory_on_hand double, safety_stock double, lead_time_days double, moq double")
